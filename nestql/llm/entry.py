@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nestql.llm import langid, media, mixing, pii
+from nestql.llm import langid, media, mixing, pii, tokens
 from nestql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokens_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_media": op1_media,
         "op2_mix": op2_mix,
+        "op3_tokens": op3_tokens,
         "op4_language": op4_language,
         "op10_pii": op10_pii,
     }
