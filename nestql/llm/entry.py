@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nestql.llm import langid, media, mixing, pii, tokens
+from nestql.llm import langid, lines, media, mixing, pii, tokens
 from nestql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op2_mix": op2_mix,
         "op3_tokens": op3_tokens,
         "op4_language": op4_language,
+        "op9_lines": op9_lines,
         "op10_pii": op10_pii,
     }
 
