@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nestql.llm import jaccard, langid, lines, media, mixing, pii, suffixes, tokens
+from nestql.llm import decontaminate, jaccard, langid, lines, media, mixing, pii, suffixes, tokens
 from nestql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substrings_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op3_tokens": op3_tokens,
         "op4_language": op4_language,
         "op6_substrings": op6_substrings,
+        "op7_leaks": op7_leaks,
         "op8_jaccard": op8_jaccard,
         "op9_lines": op9_lines,
         "op10_pii": op10_pii,
