@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nestql.llm import decontaminate, jaccard, langid, lines, media, mixing, pii, suffixes, tokens
+from nestql.llm import decontaminate, jaccard, langid, lines, media, mixing, pages, pii, suffixes, tokens
 from nestql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.pages_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substrings_digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op2_mix": op2_mix,
         "op3_tokens": op3_tokens,
         "op4_language": op4_language,
+        "op5_pages": op5_pages,
         "op6_substrings": op6_substrings,
         "op7_leaks": op7_leaks,
         "op8_jaccard": op8_jaccard,
