@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Counts of all documents give hashed words an idf weight.
-2. A randomised SVD of the TF-IDF matrix of all passages (blocks of ``PASSAGE``
-   words): random directions, one power pass, an orthonormal basis on the driver,
-   and a pass for the small Gram matrix in that basis. Only matrices of fixed size
-   (``2 ** WORD_BITS`` x ``RANK + EXTRA``) travel; tasks add up before they send.
+2. A randomised SVD of the TF-IDF matrix A of all passages (blocks of ``PASSAGE``
+   words): one pass sends ``A' A`` times random directions, from which the driver
+   finds the leading right singular vectors (Nystrom's formula, as A' A is
+   positive). Only matrices of fixed size (``2 ** WORD_BITS`` x ``RANK + EXTRA``)
+   travel; tasks add up before they send.
 3. Whitened latent vectors of sliding windows, a length for each class of item
    lengths, are compared with the items' by cosine. Every window of every document
    is compared with every item of its class, in blocks of ``ITEM_BLOCK`` items.
@@ -41,7 +42,9 @@ WORD_BITS = 14
 RANK = 64
 EXTRA = 8
 PASSAGE = 32
-CHUNK = 1 << 14
+CHUNK = 1 << 12
+#: Words of the passages that are multiplied at a time.
+GROUP = 1 << 16
 CLASS_RATIO = 1.25
 STRIDES = 4
 COSINE = 0.5
@@ -52,11 +55,13 @@ ITEM_BLOCK = 20_000
 SEED = 20_240_501
 
 
+#: Marks that separate words, as spaces.
+MARKS = bytes.maketrans(b".,;:!?()[]\"'", b" " * 12)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z), without marks at their ends."""
-    if not text:
-        return []
-    return [w for x in text.encode("utf-8", "surrogatepass").lower().split() if (w := x.strip(b".,;:!?()[]\"'")) or x]
+    """Words in lower case (A-Z), without marks."""
+    return text.encode("utf-8", "surrogatepass").translate(MARKS).lower().split() if text else []
 
 
 def buckets_of(words: list[bytes]) -> np.ndarray:
@@ -64,27 +69,23 @@ def buckets_of(words: list[bytes]) -> np.ndarray:
     return (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
 
-def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Hashed words of many passages at a time, a row each; the last of a text is padded by 2 ** WORD_BITS."""
+    parts, size = [], 0
     for frame in frames:
         for t in frame["text"]:
-            words = words_of(t)
-            for a in range(0, len(words), CHUNK):
-                yield buckets_of(words[a : a + CHUNK])
-
-
-def _grouped(runs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs joined up to about CHUNK words, and the starts of their passages."""
-    parts, starts, size = [], [], 0
-    for run in runs:
-        if len(run):
-            parts.append(run)
-            starts.append(np.arange(0, len(run), PASSAGE) + size)
-            size += len(run)
-        if size >= CHUNK:
-            yield np.concatenate(parts), np.concatenate(starts)
-            parts, starts, size = [], [], 0
-    if parts:
-        yield np.concatenate(parts), np.concatenate(starts)
+            ids = buckets_of(words_of(t))
+            if len(ids):
+                rows = np.full((-(-len(ids) // PASSAGE), PASSAGE), 1 << WORD_BITS, np.int64)
+                rows.reshape(-1)[: len(ids)] = ids
+                parts.append(rows)
+                size += len(rows)
+            while size * PASSAGE >= GROUP:
+                whole = np.concatenate(parts)
+                yield whole[: GROUP // PASSAGE]
+                parts, size = [whole[GROUP // PASSAGE :]], len(whole) - GROUP // PASSAGE
+    if size:
+        yield np.concatenate(parts)
 
 
 def _few(docs: DataFrame) -> DataFrame:
@@ -137,50 +138,64 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     df = _summed(docs, counts, (words, 2))
     idf = np.log((df[0, 1] + 1) / (df[:, 0] + 1)) + 0.1
     square = idf**2
-    basis = np.random.default_rng(SEED).standard_normal((words, width))
-
-    def projected(ids: np.ndarray, starts: np.ndarray, m: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.add.reduceat(square[ids], starts))
-        return np.add.reduceat(m[ids], starts, axis=0) / norm[:, None]
+    start, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((words, width)))
 
     def power(frames: Iterator[pd.DataFrame]) -> np.ndarray:
-        m, total = (idf[:, None] * basis).astype(np.float32), np.zeros((words, width))
-        for ids, starts in _grouped(_runs(frames)):
-            norm = np.sqrt(np.add.reduceat(square[ids], starts))
-            rows = (projected(ids, starts, m) / norm[:, None])[np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))]
-            order = np.argsort(ids, kind="stable")
-            cut = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-            own = ids[order][cut]
-            total[own] += np.add.reduceat(rows[order], cut, axis=0) * idf[own][:, None]
-        return total
+        # The last but one column adds up the rows of A, for their mean; the last counts them.
+        total = np.zeros((width + 2, words + 1))
+        m = np.concatenate([(idf[:, None] * start), np.zeros((1, width))]).astype(np.float32)
+        squares = np.r_[square, 0.0]
+        for ids in _passages(frames):
+            norm = np.sqrt(squares[ids].sum(axis=1))
+            rows = m[ids].sum(axis=1).T / norm
+            rows = np.concatenate([rows, np.ones((1, len(ids)))]) / norm
+            flat = ids.reshape(-1)
+            for j in range(width + 1):
+                total[j] += np.bincount(flat, np.repeat(rows[j], PASSAGE), words + 1)
+            total[-1, 0] += len(ids)
+        total[:-1] *= np.r_[idf, 0.0]
+        return np.ascontiguousarray(total[:, :words].T)
+
+    sent = _summed(docs, power, (words, width + 2))
+    count = max(1.0, sent[0, -1])
+    y, mean = sent[:, :width], sent[:, width] / count
+    shift = 1e-6 * np.linalg.norm(y) + 1e-12
+    y = y + shift * start
+    core = start.T @ y
+    values, axes = np.linalg.eigh((core + core.T) / 2)
+    u, sigma, _ = np.linalg.svd(y @ (axes / np.sqrt(np.maximum(values, 1e-12))), full_matrices=False)
+    found = np.maximum(sigma**2 - shift, 0) / count
+    center = u.T @ mean
+    values, axes = np.linalg.eigh(np.diag(found) - np.outer(center, center))
+    best = np.argsort(values)[::-1][:rank]
+    white = axes[:, best] / np.sqrt(np.maximum(values[best], 1e-9))
+    return Space(idf, (idf[:, None] * (u @ white)).astype(np.float32), center @ white)
 
-    basis, _ = np.linalg.qr(_summed(docs, power, (words, width)) + 1e-9 * basis)
 
-    def gram(frames: Iterator[pd.DataFrame]) -> np.ndarray:
-        m, total = (idf[:, None] * basis).astype(np.float32), np.zeros((width + 1, width + 1))
-        for ids, starts in _grouped(_runs(frames)):
-            rows = np.concatenate([projected(ids, starts, m), np.ones((len(starts), 1))], axis=1)
-            total += rows.T @ rows
-        return total
+def unit_vector(space: Space, ids: np.ndarray) -> np.ndarray:
+    """The unit latent vector of a whole run of words."""
+    v = space.vectors[ids].sum(axis=0, dtype=np.float64) / np.sqrt((space.idf[ids] ** 2).sum()) - np.sqrt(len(ids) / PASSAGE) * space.mean
+    return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
-    g = _summed(docs, gram, (width + 1, width + 1))
-    count = max(1.0, g[-1, -1])
-    mean = g[-1, :-1] / count
-    values, axes = np.linalg.eigh(g[:-1, :-1] / count - np.outer(mean, mean))
-    best = np.argsort(values)[::-1][:rank]
-    white = axes[:, best] / np.sqrt(np.maximum(values[best], 1e-9))
-    return Space(idf, (idf[:, None] * (basis @ white)).astype(np.float32), mean @ white)
 
+def window_cosines(sums: np.ndarray, squares: np.ndarray, a: np.ndarray, n: int, mean: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosines of the windows of n words from each place of ``a`` with unit vectors.
 
-def window_vectors(sums: np.ndarray, squares: np.ndarray, a: np.ndarray, b: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of the word ranges a..b, from running sums."""
-    v = (sums[b] - sums[a]) / np.sqrt(squares[b] - squares[a])[:, None]
-    v -= np.sqrt((b - a) / PASSAGE)[:, None] * mean
-    return (v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]).astype(np.float32)
+    With D a window's sum, q its norm and s its share of the mean, the vector is
+    D / q - s m; products with D are enough for it.
+    """
+    d = sums[a + n] - sums[a]
+    s, q = np.sqrt(n / PASSAGE), np.sqrt(squares[a + n] - squares[a])
+    mean = mean.astype(np.float32)
+    products = d @ np.concatenate([vectors, mean[None]]).T
+    dm = products[:, -1]
+    norm = np.einsum("ij,ij->i", d, d) / q**2 - 2 * s * dm / q + s * s * float(mean @ mean)
+    top = products[:, :-1] / q[:, None] - s * (vectors @ mean)
+    return top / np.sqrt(np.maximum(norm, 1e-12))[:, None]
 
 
 def _running(space: Space, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sums = np.zeros((len(ids) + 1, space.vectors.shape[1]))
+    sums = np.zeros((len(ids) + 1, space.vectors.shape[1]), np.float32)
     np.cumsum(space.vectors[ids], axis=0, out=sums[1:])
     return sums, np.r_[0.0, np.cumsum(space.idf[ids] ** 2)]
 
@@ -226,10 +241,7 @@ def item_classes(rows: list[tuple], space: Space) -> list[Items]:
     out = []
     for k in sorted(by):
         ids, words, answers = map(list, zip(*by[k], strict=True))
-        vectors = []
-        for w in words:
-            sums, squares = _running(space, buckets_of(w))
-            vectors.append(window_vectors(sums, squares, np.array([0]), np.array([len(w)]), space.mean)[0])
+        vectors = [unit_vector(space, buckets_of(w)) for w in words]
         out.append(Items(max(1, round(CLASS_RATIO**k)), ids, words, answers, np.stack(vectors)))
     return out
 
@@ -247,7 +259,7 @@ def leaks_of(words: list[bytes], space: Space, classes: list[Items]) -> dict:
             n = min(c.length, len(part))
             last = len(part) - n
             a = np.unique(np.r_[np.arange(0, last + 1, max(1, c.length // STRIDES)), last])
-            cosine = window_vectors(sums, squares, a, a + n, space.mean) @ c.vectors.T
+            cosine = window_cosines(sums, squares, a, n, space.mean, c.vectors)
             for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 item = c.words[i]
                 pad = max(0, round(SPAN * len(item)) - n) // 2 + c.length // STRIDES + 1
