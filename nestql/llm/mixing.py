@@ -47,7 +47,7 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 
 
 def _slices(rows: int) -> int:
-    return max(16, -(-rows // SLICE_ROWS))
+    return max(64, -(-rows // SLICE_ROWS))
 
 
 def _cyclic(rank: Column, values: Sequence) -> Column:
