@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint that keeps the partitioning of its rows, for joins by it.
+
+    An adaptive plan would hide it, so the plan is not adaptive.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of rounds that are over.
+
+    Spark drops shuffle files, checkpoints and plans of frames that are gone only
+    when the driver's garbage is collected, which in many small rounds comes late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_batches(
     frames: Iterator[pd.DataFrame], text: str = "text"
 ) -> Iterator[tuple[pd.DataFrame, list[str]]]:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestql.llm.common import checkpointed, parallelism
+from nestql.llm.common import dealt_checkpoint, parallelism
 
 LENGTH = 50
 GRAM = 16
@@ -119,19 +119,31 @@ def _from_five(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """``tid, id, raw``: each text once, compressed, with its smallest id."""
+def distinct_texts(docs: DataFrame, parts: int) -> DataFrame:
+    """``tid, id, raw``: each text once, compressed, with its smallest id, dealt by ``tid``.
+
+    The result is checkpointed with its partitioning, so that what is joined to it
+    by ``tid`` later moves alone.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for frame in frames:
-            raw = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "tid": [xxhash.xxh3_128_digest(r) for r in raw], "raw": [squeeze.compress(r) for r in raw]})
-
-    # The smallest id of equal texts is found before the shuffle where they meet.
-    made = rows.mapInPandas(run, "id long, tid binary, raw binary")
-    return made.groupBy("tid").agg(F.min("id").alias("id"), F.first("raw").alias("raw"))
+            least: dict[bytes, int] = {}
+            raws: dict[bytes, bytes] = {}
+            for id_, t in zip(frame["id"].tolist(), frame["text"], strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                tid = xxhash.xxh3_128_digest(raw)
+                if tid in least:
+                    least[tid] = min(least[tid], id_)
+                else:
+                    least[tid], raws[tid] = id_, squeeze.compress(raw)
+            # Copies within a batch are one row already, before they are dealt.
+            yield pd.DataFrame({"id": list(least.values()), "tid": list(least), "raw": [raws[t] for t in least]})
+
+    made = rows.mapInPandas(run, "id long, tid binary, raw binary").repartition(parts, "tid")
+    return dealt_checkpoint(made.groupBy("tid").agg(F.min("id").alias("id"), F.first("raw").alias("raw")))
 
 
 def shared_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -175,13 +187,32 @@ def shared_anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         same = key[order][1:] == key[order][:-1]
         kept = np.sort(order[np.r_[same, False] | np.r_[False, same]])
         key, row = key[kept], row[kept]
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-        ends = [*starts[1:], len(row)]
-        return pd.DataFrame({"tid": [tids[row[a]].tobytes() for a in starts], "keys": [_five(key[a:b]) for a, b in zip(starts, ends, strict=True)]})
+        # What belongs to a text goes to the text's own bucket, in one row for all texts of it.
+        to = (np.ascontiguousarray(tids).view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(buckets)).astype(np.int64)[row]
+        order = np.lexsort((row, to))
+        key, row, to = key[order], row[order], to[order]
+        cuts, out = np.searchsorted(to, np.arange(buckets + 1)), []
+        for b in range(buckets):
+            if cuts[b] < cuts[b + 1]:
+                who, times = np.unique(row[cuts[b] : cuts[b + 1]], return_counts=True)
+                out.append((b, tids[who].tobytes(), times.astype(np.uint32).tobytes(), _five(key[cuts[b] : cuts[b + 1]])))
+        return pd.DataFrame(out, columns=["bucket", "tids", "times", "keys"])
+
+    def gather(block: pd.DataFrame) -> pd.DataFrame:
+        five = np.frombuffer(b"".join(block["keys"]), "V5")
+        tids = np.frombuffer(b"".join(block["tids"]), "V16")
+        who = np.repeat(np.arange(len(tids)), np.frombuffer(b"".join(block["times"]), np.uint32))
+        halves = np.ascontiguousarray(tids).view(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[who, 1], halves[who, 0]))
+        five, who = five[order], who[order]
+        same = (halves[who][1:] == halves[who][:-1]).all(axis=1)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        ends = [*starts[1:], len(who)]
+        return pd.DataFrame({"tid": [tids[who[a]].tobytes() for a in starts], "keys": [five[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
 
-    blobs = texts.select("tid", "raw").mapInPandas(emit, "bucket int, tids binary, times binary, keys binary")
-    found = blobs.groupBy("bucket").applyInPandas(meet, "tid binary, keys binary")
-    return found.groupBy("tid").agg(F.collect_list("keys").alias("keys"))
+    packed = "bucket int, tids binary, times binary, keys binary"
+    found = texts.select("tid", "raw").mapInPandas(emit, packed).groupBy("bucket").applyInPandas(meet, packed)
+    return found.groupBy("bucket").applyInPandas(gather, "tid binary, keys binary")
 
 
 def contexts(texts: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -200,6 +231,7 @@ def contexts(texts: DataFrame, shared: DataFrame, length: int, buckets: int) ->
             row = np.concatenate([p[2] for p in parts])
             place = np.concatenate([p[3] for p in parts])
             text = np.concatenate([p[4] for p in parts])
+            pads = np.concatenate([p[5] for p in parts])
             to, out = _deal(h, buckets), []
             order = np.lexsort((whole, to))
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -211,16 +243,16 @@ def contexts(texts: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 lead = here[first]
                 who, local = np.unique(row[here], return_inverse=True)
                 out.append((
-                    b, _five(h[lead]), squeeze.compress(text[lead].tobytes()), (np.cumsum(first) - 1).astype(np.uint32).tobytes(),
+                    b, _five(h[lead]), squeeze.compress(text[lead].tobytes()), squeeze.compress(pads[lead].tobytes()), (np.cumsum(first) - 1).astype(np.uint32).tobytes(),
                     b"".join(tids[i] for i in who), np.array([ids[i] for i in who], np.int64).tobytes(),
                     local.astype(np.uint32).tobytes(), squeeze.compress(place[here].astype(np.int32).tobytes()),
                 ))
-            return pd.DataFrame(out, columns=["bucket", "keys", "text", "context", "tids", "ids", "owner", "place"])
+            return pd.DataFrame(out, columns=["bucket", "keys", "text", "pads", "context", "tids", "ids", "owner", "place"])
 
         for frame in frames:
             for tid, id_, blob, wanted in zip(frame["tid"], frame["id"], frame["raw"], frame["keys"], strict=True):
                 raw = expand.decompress(blob)
-                want = np.unique(_from_five(b"".join(wanted)))
+                want = np.unique(_from_five(wanted))
                 for a, h, at in slabs(raw, length):
                     key = h[side + at] & LOW40
                     near = want[np.minimum(np.searchsorted(want, key), len(want) - 1)]
@@ -233,13 +265,14 @@ def contexts(texts: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                     for i in cover:
                         whole = _mix(whole * np.uint64(PRIME) + h[at + i])
                     part = np.frombuffer(raw, np.uint8, min(len(raw) - a, SLAB + length - 1), a)
-                    x = np.zeros(len(part) + 2 * side, np.uint16)
-                    x[side : side + len(part)] = part.astype(np.uint16) + 1
+                    x = np.zeros(len(part) + 2 * side, np.uint8)
+                    x[side : side + len(part)] = part
                     text = x[at[:, None] + np.arange(width)]
+                    pads = np.stack([np.maximum(0, side - at), np.maximum(0, at + GRAM + side - len(part))], axis=1).astype(np.uint8)
                     if not tids or tids[-1] is not tid:
                         tids.append(tid)
                         ids.append(id_)
-                    parts.append((h[side + at], whole, np.full(len(at), len(tids) - 1), a + at - side, text))
+                    parts.append((h[side + at], whole, np.full(len(at), len(tids) - 1), a + at - side, text, pads))
                     size += len(at)
                     if size >= FLUSH_CONTEXTS:
                         yield flush()
@@ -249,19 +282,20 @@ def contexts(texts: DataFrame, shared: DataFrame, length: int, buckets: int) ->
 
     rows = texts.join(shared, "tid").select("tid", "id", "raw", "keys")
     return rows.mapInPandas(
-        emit, "bucket int, keys binary, text binary, context binary, tids binary, ids binary, owner binary, place binary"
+        emit, "bucket int, keys binary, text binary, pads binary, context binary, tids binary, ids binary, owner binary, place binary"
     )
 
 
 def suffix_order(t: np.ndarray, length: int) -> np.ndarray:
     """Starts of the suffixes of t (symbols 0..256), sorted by their first ``length`` symbols or more."""
     n = len(t)
-    span, key = 6, np.zeros(n, np.uint64)
+    # Seven symbols fit in a key; suffixes that agree in all that counts may come in any order.
+    span, key = 7, np.zeros(n, np.uint64)
     padded = np.concatenate([t.astype(np.uint64), np.zeros(span, np.uint64)])
     for i in range(span):
         key = key * np.uint64(257) + padded[i : i + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
@@ -305,28 +339,35 @@ def common_strings(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(parts, dtype=np.int32) - 1
 
 
-def _least_ids(text: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For contexts (rows of symbols) and their smallest owners' ids: for each of the
+def _row_hashes(texts: np.ndarray, pads: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each context."""
+    out = pads[:, 0].astype(np.uint64) * np.uint64(256) + pads[:, 1]
+    words = np.zeros((len(texts), -(-texts.shape[1] // 8) * 8), np.uint8)
+    words[:, : texts.shape[1]] = texts
+    for column in words.view(np.uint64).T:
+        out = _mix(out * np.uint64(PRIME) + column)
+    return out
+
+
+def _least_ids(text: np.ndarray, fits: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For contexts (rows of bytes) and their smallest owners' ids: for each of the
     strings around the anchor, the smallest id of any context that has it; where
-    the string is not whole, the largest number."""
+    the string is not whole (``fits``), the largest number."""
     count, width = text.shape
-    strings = width - length + 1
     t = np.zeros((count, width + 1), np.uint16)
-    t[:, :width] = text
+    t[:, :width] = text.astype(np.uint16) + 1
     order, group = common_strings(t.reshape(-1), length)
     row, place = order // (width + 1), order % (width + 1)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     top = np.iinfo(np.int64).max
-    padded = np.cumsum(text == 0, axis=1)
-    padded = np.concatenate([np.zeros((count, 1), np.int64), padded], axis=1)
-    whole = padded[:, length:] == padded[:, :strings]
-    fits = place < strings
     value = np.full(len(order), top, np.int64)
-    value[fits] = np.where(whole[row[fits], place[fits]], ids[row[fits]], top)
-    least = np.minimum.reduceat(value, starts)[group]
-    out = np.full((count, strings), top, np.int64)
-    out[row[fits], place[fits]] = least[fits]
-    out[~whole] = top
+    inside = np.flatnonzero(place < fits.shape[1])
+    row, place = row[inside], place[inside]
+    # Pads look like bytes of value 0 here, but strings that reach into them don't count.
+    value[inside] = np.where(fits[row, place], ids[row], top)
+    least = np.minimum.reduceat(value, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
+    out = np.full(fits.shape, top, np.int64)
+    out[row, place] = least[inside]
+    out[~fits] = top
     return out
 
 
@@ -337,33 +378,48 @@ def removed_runs(parts: DataFrame, length: int) -> DataFrame:
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         expand = zstandard.ZstdDecompressor()
-        keys, texts, context, tids, ids, owner, place = [], [], [], [], [], [], []
+        keys, texts, pads, context, tids, ids, owner, place = [], [], [], [], [], [], [], []
         done = who = 0
         for b in block.itertuples(index=False):
             k = _from_five(b.keys)
             keys.append(k)
-            texts.append(np.frombuffer(expand.decompress(b.text), np.uint16).reshape(-1, width))
+            texts.append(np.frombuffer(expand.decompress(b.text), np.uint8).reshape(-1, width))
+            pads.append(np.frombuffer(expand.decompress(b.pads), np.uint8).reshape(-1, 2))
             context.append(np.frombuffer(b.context, np.uint32).astype(np.int64) + done)
             tids.append(np.frombuffer(b.tids, "V16"))
             ids.append(np.frombuffer(b.ids, np.int64))
             owner.append(np.frombuffer(b.owner, np.uint32).astype(np.int64) + who)
             place.append(np.frombuffer(expand.decompress(b.place), np.int32))
             done, who = done + len(k), who + len(ids[-1])
-        keys, texts, context = np.concatenate(keys), np.concatenate(texts), np.concatenate(context)
-        tids, ids, owner, place = np.concatenate(tids), np.concatenate(ids), np.concatenate(owner), np.concatenate(place)
+        keys, texts, pads, context = map(np.concatenate, (keys, texts, pads, context))
+        tids, ids, owner, place = map(np.concatenate, (tids, ids, owner, place))
         own_id = ids[owner]
-        least = np.full(len(keys), np.iinfo(np.int64).max, np.int64)
+        # Contexts that several tasks sent become one.
+        whole = _row_hashes(texts, pads)
+        order = np.lexsort((whole, keys))
+        first = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (whole[order][1:] != whole[order][:-1])][: len(order)]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(first) - 1
+        context, lead = number[context], order[first]
+        keys, texts, pads = keys[lead], texts[lead], pads[lead]
+        top = np.iinfo(np.int64).max
+        least = np.full(len(keys), top, np.int64)
         np.minimum.at(least, context, own_id)
-        by_key = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, keys[by_key][1:] != keys[by_key][:-1], True])
-        strings = np.empty((len(keys), side + 1), np.int64)
+        # String j of a context is whole unless it reaches into a pad.
+        strings_at = np.arange(side + 1)
+        fits = (strings_at >= pads[:, :1]) & (strings_at <= side - pads[:, 1:].astype(np.int64))
+        strings = np.where(fits, least[:, None], top)
+        # Keys ascend by now. Where a key has one context, all its strings have one owner.
+        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        many = np.flatnonzero(np.diff(cuts) > 1)
         a = 0
-        while a < len(cuts) - 1:
-            b = a + 1
-            while b < len(cuts) - 1 and (cuts[b + 1] - cuts[a]) * (width + 1) <= CHUNK_SYMBOLS:
+        while a < len(many):
+            b, size = a, 0
+            while b < len(many) and (b == a or size + int(cuts[many[b] + 1] - cuts[many[b]]) * (width + 1) <= CHUNK_SYMBOLS):
+                size += int(cuts[many[b] + 1] - cuts[many[b]]) * (width + 1)
                 b += 1
-            some = by_key[cuts[a] : cuts[b]]
-            strings[some] = _least_ids(texts[some], least[some], length)
+            some = np.concatenate([np.arange(cuts[g], cuts[g + 1]) for g in many[a:b]])
+            strings[some] = _least_ids(texts[some], fits[some], least[some], length)
             a = b
         out_owner, out_start, out_end = [], [], []
         for a in range(0, len(context), 1 << 17):
@@ -412,9 +468,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep: bool = True) -
         raise ValueError(f"length must be {2 * GRAM} or more")
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    texts = checkpointed(distinct_texts(docs))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parallelism(spark), -(-int(total) // BUCKET_BYTES))
+    texts = distinct_texts(docs, buckets)
     shared = shared_anchors(texts, length, buckets)
     runs = removed_runs(contexts(texts, shared, length, buckets), length)
     columns = ["tid", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 7 if keep else 6]
