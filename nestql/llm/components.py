@@ -1,8 +1,10 @@
 """Connected components of a distributed edge list.
 
-Labels flow along edges and parents jump to their parents, so chains halve every
-round; all steps are joins and ``min`` aggregations, which combine before the
-shuffle. Each round is cut by a checkpoint in the cluster's shared folder.
+Each node takes the smallest label among its neighbours, passes it to its own
+label's node, then takes its label's label, so chains halve every round. Edges and labels are dealt by node once and keep that
+partitioning through their checkpoints in the cluster's shared folder; a round
+moves messages (``min`` combines them first) and the two ways of a look-up.
+Nothing is broadcast: many small relations would fill the driver.
 """
 
 from __future__ import annotations
@@ -10,24 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestql.llm.common import checkpointed
+from nestql.llm.common import dealt_checkpoint, parallelism, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label`` (the smallest reachable node) for each node of ``a, b`` edges."""
-    both = edges.select("a", "b").where("a != b").distinct()
-    both = checkpointed(both.union(both.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    n = parallelism(edges.sparkSession)
+    one_way = edges.select("a", "b").where("a != b")
+    both = dealt_checkpoint(one_way.union(one_way.select(F.col("b"), F.col("a"))).distinct().repartition(n, "a"))
+    labels = dealt_checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        ahead = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        ahead = ahead.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        sent = ahead.select(F.col("a").alias("node"), F.col("lb").alias("label")).union(ahead.select(F.col("la"), F.col("lb")))
-        lowered = sent.union(labels).groupBy("node").agg(F.min("label").alias("label"))
-        parent = lowered.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = lowered.join(parent, "label").select("node", F.col("up").alias("label"))
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node")
-        # The old label rides along to tell whether anything moved.
-        after = checkpointed(changed)
+        sent = both.join(labels.withColumnRenamed("node", "a").hint("merge"), "a").select(F.col("b").alias("node"), "label")
+        heard = sent.groupBy("node").agg(F.min("label").alias("heard"))
+        # Edges go both ways, so every node hears something, and tells its label of it.
+        near = labels.join(heard.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
+        told = near.groupBy(F.col("old").alias("node")).agg(F.min("near").alias("told"))
+        lowered = near.join(told.hint("merge"), "node", "left").select("node", "old", F.least("near", "told").alias("low"))
+        parents = lowered.select(F.col("node").alias("low"), F.col("low").alias("label"))
+        after = dealt_checkpoint(lowered.join(parents.hint("merge"), "low").select("node", "label", "old").repartition(n, "node"))
         labels = after.select("node", "label")
+        release(edges.sparkSession)
         if after.where("label != old").isEmpty():
             return labels

@@ -15,10 +15,12 @@ fragments of a pair, at least one then has a rarer n-gram and is put forward by
 both. The counts that tell common n-grams come from a sketch over all documents
 and steer cost only, never results.
 
-Texts with equal sets are one node from the start. Larger groups that share a
-fragment are not paired in full: members are tried against one pivot after
-another, and only while they belong to different components; what pivots leave
-open is paired across components, so no link is lost.
+Texts with equal sets are one node from the start. A pair shares not one but a
+known number of keys; a set with fewer keys than that in groups of more than
+``SMALL_GROUP`` is met in a small group by every partner. Only sets with more are
+left in the larger groups, and those are not paired in full: members are tried
+against a pivot, and only while they belong to different components; what pivots
+leave open is paired across components, so no link is lost.
 
 Defined results
 ---------------
@@ -44,7 +46,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestql.llm.common import checkpointed, parallelism
+from nestql.llm.common import checkpointed, parallelism, release
 from nestql.llm.components import connected_components
 
 #: (n-gram words, similarity numerator, denominator)
@@ -55,7 +57,7 @@ COMMON = 64
 BUCKET_KEYS = 3_000_000
 FLUSH_KEYS = 2_000_000
 SMALL_GROUP = 6
-PIVOTS = 3
+PIVOTS = 1
 #: Coarse fragments for counting overlaps, by the highest bits of the hash.
 COUNT_BITS = 3
 BLOOM_BITS = 1 << 26
@@ -107,11 +109,13 @@ def fragments(group: int, ends: np.ndarray, num: int, den: int) -> tuple[int, in
     return d, int(np.ceil((d + 1) * spare))
 
 
-def fragment_keys(grams: np.ndarray, common: np.ndarray | None, num: int, den: int) -> np.ndarray:
-    """Keys of the fragments that a set puts forward, for both of its groups."""
+def fragment_keys(grams: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the fragments that a set puts forward, for both of its groups, the
+    lowest bit telling which, and for each of the two how many keys a partner
+    shares at least (0: no promise)."""
     ends = size_classes(num, den, 1 << int(len(grams)).bit_length())
     own = int(np.searchsorted(ends, len(grams)))
-    out = []
+    out, shared = [], np.zeros(2, np.int32)
     for group in (own, own + 1):
         d, count = fragments(group, ends, num, den)
         if d == 0:
@@ -121,18 +125,19 @@ def fragment_keys(grams: np.ndarray, common: np.ndarray | None, num: int, den: i
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         body = np.add.reduceat(mix(grams + STEP), starts)
         frag = part[starts]
-        if common is not None:
-            rare = np.logical_or.reduceat(~common, starts)
-            # A pair has at least count - d equal fragments, so one of them is rare here.
-            if int(rare.sum()) > d:
-                body, frag = body[rare], frag[rare]
-        base = np.uint64(group * 2654435761 + 1) * STEP
-        out.append(mix((body ^ mix(frag + base)) + base))
+        rare = np.logical_or.reduceat(~common, starts)
+        # A pair has at least count - d equal fragments, so one of them is rare here.
+        if int(rare.sum()) > d:
+            body, frag = body[rare], frag[rare]
+            shared[group & 1] = len(frag) - d
+        base = np.array(group * 2654435761 + 1, np.uint64) * STEP
+        low = np.uint64(group & 1)
+        out.append(mix((body ^ mix(frag + base)) + base) & ~np.uint64(1) | low)
         if len(frag) <= d:
             # Too few to be sure of an equal one among them: empty ones count as well.
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[starts])
-            out.append(mix(mix(empty + base) + base))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            out.append(mix(mix(empty + base) + base) & ~np.uint64(1) | low)
+    return np.concatenate(out) if out else np.empty(0, np.uint64), shared
 
 
 def _key_count(n: int, num: int, den: int) -> int:
@@ -180,7 +185,9 @@ def common_cells(docs: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in block["counts"])
         return pd.DataFrame({"block": block["block"].iloc[:1], "counts": [total.tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, "block int, counts binary")
+    # As many tasks as the cluster runs at a time, about, as each sends a whole sketch.
+    few = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInPandas(count, "block int, counts binary")
     summed = parts.groupBy("block").applyInPandas(add, "block int, counts binary").toPandas().sort_values("block")
     if summed.empty:
         return np.zeros(cells, bool)
@@ -194,66 +201,90 @@ def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def shared_fragments(docs: DataFrame, n: int, num: int, den: int, common: Broadcast, buckets: int) -> DataFrame:
-    """Groups of set ids that put forward an equal fragment: ``members``, at least two, sorted."""
+    """Set ids that put forward an equal fragment.
+
+    ``members`` has the two of a pair, from groups of up to SMALL_GROUP, or all of
+    a larger group. Rows with ``sid`` say how many of a set's keys lie in larger
+    groups, and how many a partner shares at least.
+    """
     cells = np.uint64((1 << SKETCH_BITS) - 1)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, seen, sids, keys, size = common.value, set(), [], [], 0
+        flags, seen, sids, needs, keys, size = common.value, set(), [], [], [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
-            counts = np.array([len(k) for k in keys], np.int64)
-            key, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), counts)
+        def flush() -> pd.DataFrame:
+            key, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             to = _split(key, buckets)
-            order = np.lexsort((row, to))
+            order = np.argsort(to, kind="stable")
             key, row, to = key[order], row[order], to[order]
             cuts = np.searchsorted(to, np.arange(buckets + 1))
-            own, out = np.array(sids, np.int64), []
+            own, need, out = np.array(sids, np.int64), np.stack(needs), []
             for b in range(buckets):
                 k, r = key[cuts[b] : cuts[b + 1]], row[cuts[b] : cuts[b + 1]]
                 if len(k):
-                    docs_here, times = np.unique(r, return_counts=True)
+                    here, times = np.unique(r, return_counts=True)
                     low = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                    out.append((b, own[docs_here].tobytes(), times.astype(np.uint32).tobytes(), low))
-            yield pd.DataFrame(out, columns=["bucket", "sids", "times", "keys"])
+                    out.append((b, own[here].tobytes(), need[here].tobytes(), times.astype(np.uint32).tobytes(), low))
+            return pd.DataFrame(out, columns=["bucket", "sids", "needs", "times", "keys"])
 
         for frame in frames:
             for t in frame["text"]:
                 g = ngram_set(t, n)
                 if len(g) and (sid := set_id(g)) not in seen:
-                    k = fragment_keys(g, flags[(g & cells).astype(np.int64)], num, den)
+                    k, need = fragment_keys(g, flags[(g & cells).astype(np.int64)], num, den)
                     if len(k):
                         seen.add(sid)
                         sids.append(sid)
+                        needs.append(need)
                         keys.append(k)
                         size += len(k)
                 if size >= FLUSH_KEYS:
-                    yield from flush()
-                    sids, keys, size = [], [], 0
+                    yield flush()
+                    sids, needs, keys, size = [], [], [], 0
                     seen.clear()
         if keys:
-            yield from flush()
+            yield flush()
 
     def meet(block: pd.DataFrame) -> pd.DataFrame:
         low = np.frombuffer(b"".join(block["keys"]), np.uint8).reshape(-1, 5)
         key = np.zeros((len(low), 8), np.uint8)
         key[:, :5] = low
         key = key.view(np.uint64).reshape(-1)
-        sid = np.repeat(np.frombuffer(b"".join(block["sids"]), np.int64), np.frombuffer(b"".join(block["times"]), np.uint32))
+        times = np.frombuffer(b"".join(block["times"]), np.uint32)
+        sid = np.repeat(np.frombuffer(b"".join(block["sids"]), np.int64), times)
+        need = np.repeat(np.frombuffer(b"".join(block["needs"]), np.int32).reshape(-1, 2), times, axis=0)
+        need = np.where(key & np.uint64(1), need[:, 1], need[:, 0])
         order = np.argsort(key, kind="stable")
-        key, sid = key[order], sid[order]
-        same = key[1:] == key[:-1]
-        inside = np.r_[same, False] | np.r_[False, same]
-        key, sid = key[inside], sid[inside]
-        order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
-        first = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])] if len(key) else np.zeros(0, bool)
-        key, sid = key[first], sid[first]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        found = {sid[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(key)], strict=True) if b - a > 1}
-        return pd.DataFrame({"members": [np.frombuffer(x, np.int64) for x in sorted(found)]})
-
-    blobs = docs.select("text").mapInPandas(emit, "bucket int, sids binary, times binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "members array<long>").distinct()
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.r_[same, False] | np.r_[False, same]]
+        order = order[np.lexsort((sid[order], key[order]))]
+        key, sid, need = key[order], sid[order], need[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])][: len(key)]
+        key, sid, need = key[first], sid[first], need[first]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        sizes = np.diff(np.r_[starts, len(key)])
+        pairs: set[tuple[int, int]] = set()
+        for m in range(2, SMALL_GROUP + 1):
+            own = sid[starts[sizes == m][:, None] + np.arange(m)]
+            for i in range(m):
+                for j in range(i):
+                    pairs.update(zip(own[:, j].tolist(), own[:, i].tolist(), strict=True))
+        big = starts[sizes > SMALL_GROUP]
+        groups = {sid[a : a + m].tobytes() for a, m in zip(big, sizes[sizes > SMALL_GROUP], strict=True)}
+        inside = np.repeat(sizes > SMALL_GROUP, sizes)
+        load = pd.DataFrame({"sid": sid[inside], "half": (key[inside] & np.uint64(1)).astype(np.int64), "need": need[inside], "load": 1})
+        load = load.groupby(["sid", "half"], as_index=False).agg(need=("need", "min"), load=("load", "sum"))
+        rows = pd.DataFrame({"members": [np.array(p, np.int64) for p in sorted(pairs)] + [np.frombuffer(g, np.int64) for g in sorted(groups)]})
+        numbers = ["sid", "half", "need", "load"]
+        # Nullable integers from the start: by way of floats, ids would lose their last bits.
+        rows = rows.assign(**{c: pd.array([pd.NA] * len(rows), "Int64") for c in numbers})
+        load = load[numbers].astype("Int64").assign(members=None)
+        out = pd.concat([rows, load[rows.columns]], ignore_index=True)
+        out["members"] = out["members"].astype(object).where(out["members"].notna(), None)
+        return out
+
+    blobs = docs.select("text").mapInPandas(emit, "bucket int, sids binary, needs binary, times binary, keys binary")
+    return blobs.groupBy("bucket").applyInPandas(meet, "members array<long>, sid long, half long, need long, load long")
 
 
 def _bloom(ids: np.ndarray) -> np.ndarray:
@@ -328,35 +359,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return summed.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
 
 
-def links(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` between set ids whose components are those of all links."""
+def linked_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``node, label``: the component of each set id that is linked with another."""
     spark = docs.sparkSession
     total = sets.agg(F.sum("keys")).first()[0] or 0
     buckets = max(parallelism(spark), -(-int(total) // BUCKET_KEYS))
     common = spark.sparkContext.broadcast(common_cells(docs, n))  # 2 ** SKETCH_BITS flags
-    groups = checkpointed(shared_fragments(docs, n, num, den, common, buckets))
-    m = F.size("members")
-    wanted = groups.select(F.explode("members").alias("sid")).distinct()
-    pool = checkpointed(_fragment_sets(docs, n, wanted))
-    indexes = F.sequence(F.lit(1), m - 1)
-    tails = lambda i: F.slice("members", i + 1, m)
-    small = (
-        groups.where(m <= SMALL_GROUP)
-        .select("members", F.explode(indexes).alias("i"))
-        .select(F.element_at("members", F.col("i")).alias("a"), F.explode(tails(F.col("i"))).alias("b"))
-        .distinct()
-    )
-    found = checkpointed(_verified(small, pool, num, den))
-    large = groups.where(m > SMALL_GROUP)
-    if large.isEmpty():
-        return found
+    met = checkpointed(shared_fragments(docs, n, num, den, common, buckets))
+    pairs = met.where(F.size("members") == 2).select(F.get("members", F.lit(0)).alias("a"), F.get("members", F.lit(1)).alias("b")).distinct()
+    # A pair shares at least `need` keys of a set that promises so. With fewer keys than
+    # that in larger groups, the pair met in a small one. Only sets without are left.
+    full = met.where("sid is not null").groupBy("sid", "half").agg(F.sum("load").alias("load"), F.min("need").alias("need"))
+    full = full.where("load >= need").select("sid").distinct()
+    large = met.where(F.size("members") > 2).select("members").distinct()
     large = checkpointed(large.withColumn("gid", F.monotonically_increasing_id()))
-    open_groups = large
+    large = checkpointed(
+        large.select("gid", F.explode("members").alias("sid")).join(full.hint("merge"), "sid", "left_semi")
+        .groupBy("gid").agg(F.sort_array(F.collect_list("sid")).alias("members")).where(F.size("members") > 1)
+    )
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select(F.explode("members"))).distinct()
+    pool = checkpointed(_fragment_sets(docs, n, wanted))
+    found = checkpointed(_verified(pairs, pool, num, den))
+    release(spark)
+    labels, left = connected_components(found), large
     for turn in range(PIVOTS + 1):
-        # Members by component; of a component only what a new link could need.
-        labels = connected_components(found)
-        rows = open_groups.select("gid", F.explode("members").alias("sid")).join(
-            labels.withColumnRenamed("node", "sid"), "sid", "left"
+        # Members with their components; a group of one component has no more to give.
+        rows = left.select("gid", F.explode("members").alias("sid")).join(
+            labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left"
         ).withColumn("label", F.coalesce("label", "sid"))
         state = rows.groupBy("gid").agg(
             F.sort_array(F.collect_list(F.struct("sid", "label"))).alias("m"), F.count_distinct("label").alias("labels")
@@ -365,17 +394,17 @@ def links(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataF
         if state.isEmpty():
             break
         if turn < PIVOTS:
-            pivot = F.element_at("m", F.lit(turn + 1))
+            pivot = F.element_at("m", F.least(F.lit(turn + 1), F.size("m")))
             others = F.filter("m", lambda x: x["label"] != pivot["label"])
-            pairs = state.select(pivot["sid"].alias("p"), F.explode(others["sid"]).alias("q"))
+            more = state.select(pivot["sid"].alias("p"), F.explode(others["sid"]).alias("q"))
         else:
-            pairs = state.select("m", F.explode("m").alias("x")).select(
-                F.col("x.sid").alias("p"), F.explode(F.filter("m", lambda y: (y["label"] != F.col("x.label")) & (y["sid"] > F.col("x.sid")))["sid"]).alias("q")
-            )
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        found = checkpointed(found.union(_verified(pairs, pool, num, den)).distinct())
-        open_groups = state.select("gid", F.col("m.sid").alias("members"))
-    return found
+            across = F.filter("m", lambda y: (y["label"] != F.col("x.label")) & (y["sid"] > F.col("x.sid")))
+            more = state.select("m", F.explode("m").alias("x")).select(F.col("x.sid").alias("p"), F.explode(across["sid"]).alias("q"))
+        more = more.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        found = checkpointed(found.union(_verified(more, pool, num, den)).distinct())
+        left = state.select("gid", F.col("m.sid").alias("members"))
+        labels = connected_components(found)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[1], den: int = DEFAULT[2]) -> DataFrame:
@@ -386,8 +415,7 @@ def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[
     """
     docs = docs.select("doc_id", "text")
     sets = checkpointed(document_sets(docs, n, num, den))
-    found = links(docs, sets, n, num, den)
-    labels = connected_components(found)
+    labels = linked_sets(docs, sets, n, num, den)
     filled = sets.where("n_shingles > 0")
     classes = filled.groupBy("sid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
