@@ -474,6 +474,31 @@ def test_lines(spark, odd, odd_rows, empty, setting):
     assert lines.lines_digest(empty).collect() == []
 
 
+def plain_later_lines(rows):
+    """What is left of each (id, text) when every non-blank line that stood earlier goes."""
+    seen, left = set(), []
+    for i, t in rows:
+        out = []
+        for x in t.split("\n"):
+            if x.strip(" \t\r\x0b\x0c") and x in seen:
+                continue
+            seen.add(x)
+            out.append(x)
+        left.append((i, "\n".join(out)))
+    return left
+
+
+def test_single_lines(spark):
+    r = random.Random(7)
+    pool = [f"a licence line of some words {i}" for i in range(12)] + ["}", "", "\t "]
+    rows = [(1, "one line text"), (2, "one line text"), (3, "own\none line text\nwords"), (4, "again\nown\nagain\n\n  \nagain")]
+    rows += [(i, "\n".join([f"own {i}", r.choice(pool), f"more {i}", *r.choices(pool, k=r.randint(0, 4))])) for i in range(5, 40)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["kept_text"]) for x in got) == plain_later_lines(rows)
+    sizes = {x["doc_id"]: (x["n_lines"], x["n_removed"]) for x in got}
+    assert (sizes[2], sizes[3], sizes[4]) == ((1, 1), (3, 1), (6, 3))
+
+
 # -- 10
 
 
