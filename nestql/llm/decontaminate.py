@@ -1,4 +1,4 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by word overlap and latent semantic similarity.
 
 1. Counts of all documents give hashed words an idf weight.
 2. A randomised SVD of the TF-IDF matrix A of all passages (blocks of ``PASSAGE``
@@ -6,11 +6,15 @@
    finds the leading right singular vectors (Nystrom's formula, as A' A is
    positive). Only matrices of fixed size (``2 ** WORD_BITS`` x ``RANK + EXTRA``)
    travel; tasks add up before they send.
-3. Whitened latent vectors of sliding windows, a length for each class of item
-   lengths, are compared with the items' by cosine. Every window of every document
-   is compared with every item of its class, in blocks of ``ITEM_BLOCK`` items.
-4. A candidate is checked in the words around its window: the longest common
-   subsequence with the item, and with the item's answer, its last sentence.
+3. Candidates are all runs that can hold a leak. A run in which at most m of an
+   item's words are missing holds k of any m + k of them, so each item is looked up
+   by its rarest words, m + k of them with k ``ANCHORED`` of the words that a leak
+   holds. Places with k of them in ``SPAN`` times the item's words are candidates.
+   Every document is compared with every item, in blocks of ``ITEM_BLOCK`` items.
+4. From each of the item's words about a candidate, a run of ``SPAN`` times the
+   item's words is checked: the longest common subsequence with the item, and with
+   the item's answer, its last sentence. ``cosine`` is that of the latent vectors of
+   the item and of as many words from the best run's start; it decides nothing.
 
 A document leaks an item if the common subsequence holds ``STRONG`` of the item's
 words, or ``WEAK`` of them and ``ANSWER`` of its answer, within ``SPAN`` times the
@@ -24,13 +28,15 @@ Defined results
 * repeated ids: one row for an id and item, the best; null ids: kept as an id;
 * ties of the best window: the first; empty tables: no rows;
 * extra columns: ignored (``keep_clean`` keeps them);
-* very long text: windows are made ``CHUNK`` words at a time, with overlap.
+* very long text: words are looked up ``CHUNK`` at a time, with overlap.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -45,9 +51,8 @@ PASSAGE = 32
 CHUNK = 1 << 12
 #: Words of the passages that are multiplied at a time.
 GROUP = 1 << 16
-CLASS_RATIO = 1.25
-STRIDES = 4
-COSINE = 0.5
+#: Share of the words that a leak holds, of which the lookup asks for that many.
+ANCHORED = 0.5
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.6
 SPAN = 1.5
 SHORT = 8
@@ -129,7 +134,7 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
         total = np.zeros((words, 2))
         for frame in frames:
             for t in frame["text"]:
-                b = buckets_of(words_of(t))
+                b = buckets_of(list(set(words_of(t))))
                 if len(b):
                     total[np.unique(b), 0] += 1
                     total[0, 1] += 1
@@ -178,39 +183,27 @@ def unit_vector(space: Space, ids: np.ndarray) -> np.ndarray:
     return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
 
-def window_cosines(sums: np.ndarray, squares: np.ndarray, a: np.ndarray, n: int, mean: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines of the windows of n words from each place of ``a`` with unit vectors.
-
-    With D a window's sum, q its norm and s its share of the mean, the vector is
-    D / q - s m; products with D are enough for it.
-    """
-    d = sums[a + n] - sums[a]
-    s, q = np.sqrt(n / PASSAGE), np.sqrt(squares[a + n] - squares[a])
-    mean = mean.astype(np.float32)
-    products = d @ np.concatenate([vectors, mean[None]]).T
-    dm = products[:, -1]
-    norm = np.einsum("ij,ij->i", d, d) / q**2 - 2 * s * dm / q + s * s * float(mean @ mean)
-    top = products[:, :-1] / q[:, None] - s * (vectors @ mean)
-    return top / np.sqrt(np.maximum(norm, 1e-12))[:, None]
-
-
-def _running(space: Space, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sums = np.zeros((len(ids) + 1, space.vectors.shape[1]), np.float32)
-    np.cumsum(space.vectors[ids], axis=0, out=sums[1:])
-    return sums, np.r_[0.0, np.cumsum(space.idf[ids] ** 2)]
-
-
-def lcs(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, in bits of one integer."""
+def places_of(a: list[bytes]) -> dict[bytes, int]:
+    """Each word's places in ``a``, as bits."""
     where: dict[bytes, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    return where
+
+
+def common(where: dict[bytes, int], n: int, b: list[bytes]) -> int:
+    """Length of the longest common subsequence with n words at these places, in bits of one integer."""
+    row = full = (1 << n) - 1
     for w in b:
         if hit := where.get(w):
             kept = row & hit
             row = (row + kept | row - kept) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence."""
+    return common(places_of(a), len(a), b)
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -224,60 +217,135 @@ def answer_of(text: str) -> list[bytes]:
 
 @dataclass
 class Items:
-    """Items of a class of lengths, with a window length for all of them."""
+    """Items, and postings of the words by which they are looked up."""
 
-    length: int
     ids: list
     words: list[list[bytes]]
-    answers: list[list[bytes]]
+    where: list[dict[bytes, int]]
+    answers: list[tuple[dict[bytes, int], int]]
     vectors: np.ndarray
-
-
-def item_classes(rows: list[tuple], space: Space) -> list[Items]:
-    by: dict[int, list] = {}
+    #: Fewest common words of a leak, its most words, and how many anchors it holds at least.
+    need: list[int]
+    spans: np.ndarray
+    least: np.ndarray
+    #: Numbers of the anchors; the items of number w are posts[starts[w] : starts[w] + counts[w]].
+    numbers: dict[bytes, int]
+    starts: np.ndarray
+    counts: np.ndarray
+    posts: np.ndarray
+
+
+def items_of(rows: list[tuple], space: Space) -> Items | None:
+    ids, words, where, answers, vectors, need, spans, least = [], [], [], [], [], [], [], []
+    numbers: dict[bytes, int] = {}
+    posts: list[list[int]] = []
     for item_id, text in rows:
-        if words := words_of(text):
-            by.setdefault(round(np.log(len(words)) / np.log(CLASS_RATIO)), []).append((item_id, words, answer_of(text)))
-    out = []
-    for k in sorted(by):
-        ids, words, answers = map(list, zip(*by[k], strict=True))
-        vectors = [unit_vector(space, buckets_of(w)) for w in words]
-        out.append(Items(max(1, round(CLASS_RATIO**k)), ids, words, answers, np.stack(vectors)))
-    return out
-
-
-def leaks_of(words: list[bytes], space: Space, classes: list[Items]) -> dict:
-    """item id -> (similarity, answer's, cosine, first word of the best window)."""
+        if not (item := words_of(text)):
+            continue
+        n, buckets = len(item), buckets_of(item)
+        short = n < SHORT
+        fewest = n if short else next(m for m in range(n + 1) if m / n >= WEAK)
+        count, rarity = Counter(item), dict(zip(item, space.idf[buckets].tolist(), strict=True))
+        held = 0
+        for w in sorted(count, key=lambda w: (-rarity[w], w)):  # noqa: B023
+            if held >= n - fewest + max(1, round(ANCHORED * fewest)):
+                break
+            held += count[w]
+            if numbers.setdefault(w, len(posts)) == len(posts):
+                posts.append([])
+            posts[numbers[w]].append(len(ids))
+        answer = answer_of(text)
+        ids.append(item_id), words.append(item), where.append(places_of(item)), answers.append((places_of(answer), len(answer)))
+        vectors.append(unit_vector(space, buckets)), need.append(fewest), spans.append(n if short else round(SPAN * n)), least.append(held - n + fewest)
+    if not ids:
+        return None
+    counts = np.array([len(x) for x in posts], np.int64)
+    small = np.int16 if len(ids) < 1 << 15 else np.int32  # two bytes are sorted by radix
+    return Items(
+        ids, words, where, answers, np.stack(vectors), need, np.array(spans), np.array(least),
+        numbers, np.cumsum(counts) - counts, counts, np.array([i for x in posts for i in x], small),
+    )
+
+
+def candidates(parts: list[list[bytes]], items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """Number of the part and item, and the first and last anchor of places near each other from which enough follow."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    gap = int(items.spans.max())
+    begins = np.cumsum(sizes + gap) - sizes - gap
+    number = np.fromiter(map(items.numbers.get, chain.from_iterable(parts), repeat(-1)), np.int64, int(sizes.sum()))
+    hits = np.flatnonzero(number >= 0)
+    place = (hits + np.repeat(np.arange(len(parts)) * gap, sizes)[hits]).astype(np.int64)
+    number = number[hits]
+    count = items.counts[number]
+    n = int(count.sum())
+    item = items.posts[np.repeat(items.starts[number] - np.cumsum(count) + count, count) + np.arange(n)]
+    order = np.argsort(item, kind="stable")
+    item, place = item[order].astype(np.int64), np.repeat(place, count)[order]
+    key = item * (1 << 40) + place
+    last = np.arange(n) + items.least[item] - 1
+    full = np.flatnonzero(last < n)
+    full = full[key[last[full]] - key[full] < items.spans[item[full]]]
+    if not len(full):
+        return
+    item, place = item[full], place[full]
+    part = np.searchsorted(begins, place, "right") - 1
+    new = np.flatnonzero((np.diff(item) != 0) | (np.diff(part) != 0) | (np.diff(place) > items.spans[item[1:]])) + 1
+    first, end = np.r_[0, new], np.r_[new - 1, len(full) - 1]
+    place = place - begins[part]
+    yield from zip(part[first].tolist(), item[first].tolist(), place[first].tolist(), place[end].tolist(), strict=True)
+
+
+def best_run(words: list[bytes], items: Items, i: int, first: int, last: int) -> tuple | None:
+    """(similarity, answer's, minus the start) of the best leak that starts up to ``last``, and holds ``first`` or a later place."""
+    item, where, n, span = items.words[i], items.where[i], len(items.words[i]), int(items.spans[i])
+    low = max(0, first - span + 1)
+    at = [p for p, w in enumerate(words[low : last + span], low) if w in where]
+    ends = np.searchsorted(at, np.array(at) + span).tolist()
+    places, size = items.answers[i]
+    best = None
+    for k, (a, end) in enumerate(zip(at, ends, strict=True)):
+        # As many words at most are common; less than the best so far is no use.
+        if a > last or end - k < items.need[i] or (best and (end - k) / n < best[0]):
+            continue
+        run = words[a : a + span]
+        share = common(where, n, run) / n
+        if share < WEAK:
+            continue
+        answer = common(places, size, run) / size if size else share
+        hit = run == item if n < SHORT else share >= STRONG or answer >= ANSWER
+        if hit and (best is None or (share, answer, -a) > best):
+            best = (share, answer, -a)
+    return best
+
+
+def leaks_of(texts: list[list[bytes]], space: Space, items: Items | None) -> Iterator[tuple]:
+    """(number of the text, item id, similarity, answer's, cosine, first word of the best run)."""
+    if items is None:
+        return
     found: dict = {}
-    if not words or not classes:
-        return found
-    reach = max(c.length for c in classes)
-    for lo in range(0, len(words), CHUNK):
-        part = words[lo : lo + CHUNK + reach]
-        sums, squares = _running(space, buckets_of(part))
-        for c in classes:
-            n = min(c.length, len(part))
-            last = len(part) - n
-            a = np.unique(np.r_[np.arange(0, last + 1, max(1, c.length // STRIDES)), last])
-            cosine = window_cosines(sums, squares, a, n, space.mean, c.vectors)
-            for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                item = c.words[i]
-                pad = max(0, round(SPAN * len(item)) - n) // 2 + c.length // STRIDES + 1
-                x, y = max(0, int(a[w]) + lo - pad), min(len(words), int(a[w]) + lo + n + pad)
-                around = words[x:y]
-                share = lcs(item, around) / len(item)
-                answer = lcs(c.answers[i], around) / len(c.answers[i]) if c.answers[i] else share
-                short = len(item) < SHORT
-                if short:
-                    hit = share == 1.0 and any(around[j : j + len(item)] == item for j in range(len(around) - len(item) + 1))
-                else:
-                    hit = share >= STRONG or (share >= WEAK and answer >= ANSWER)
-                score = (share, answer, float(cosine[w, i]), -(int(a[w]) + lo))
-                if hit and (c.ids[i] not in found or score > found[c.ids[i]]):
-                    found[c.ids[i]] = score
-        if lo + CHUNK + reach >= len(words):
-            break
-    return found
+    parts, size, reach = [], 0, int(items.spans.max())
+
+    def look() -> None:
+        for p, i, first, last in candidates([x[2] for x in parts], items):
+            t, lo, _ = parts[p]
+            run = best_run(texts[t], items, i, lo + first, lo + last)
+            if run and run > found.get((t, items.ids[i]), ((),))[0]:
+                found[t, items.ids[i]] = run, i
+
+    for t, words in enumerate(texts):
+        for lo in range(0, len(words), CHUNK):
+            parts.append((t, lo, words[lo : lo + CHUNK + reach]))
+            size += len(parts[-1][2])
+            if size >= 2 * GROUP:
+                look()
+                parts, size = [], 0
+            if lo + CHUNK + reach >= len(words):
+                break
+    if parts:
+        look()
+    for (t, item_id), ((share, answer, at), i) in found.items():
+        vector = unit_vector(space, buckets_of(texts[t][-at : len(items.words[i]) - at]))
+        yield t, item_id, share, answer, float(vector @ items.vectors[i]), -at
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -292,18 +360,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
     for block in range(blocks):
         # A block of the stated query set against all documents; its size is item_block, about.
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast((space, item_classes([tuple(r) for r in own], space)))
+        held = spark.sparkContext.broadcast((space, items_of([tuple(r) for r in own], space)))
 
         def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            space, classes = held.value
+            space, items = held.value
             for frame in frames:
-                rows = [
-                    (d, i, s, a, c, -at)
-                    for d, t in zip(frame["doc_id"].tolist(), frame["text"], strict=True)
-                    for i, (s, a, c, at) in leaks_of(words_of(t), space, classes).items()
-                ]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                for lo in range(0, len(frame), 256):
+                    ids = frame["doc_id"].iloc[lo : lo + 256].tolist()
+                    rows = [(ids[t], *x) for t, *x in leaks_of([words_of(t) for t in frame["text"].iloc[lo : lo + 256]], space, items)]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
         found = docs.mapInPandas(run, schema)
         out = found if out is None else out.union(found)

@@ -317,6 +317,50 @@ def test_leaks(spark, odd, empty):
     assert clean.columns == odd.columns and clean.count() == odd.count()
 
 
+def plain_leaks(docs, items):
+    """Best similarity, answer's and first start by the stated rule, over the runs from every word."""
+    found = {}
+    for i, item in items:
+        item, answer = decontaminate.words_of(item), decontaminate.answer_of(item)
+        span = round(decontaminate.SPAN * len(item)) if len(item) >= decontaminate.SHORT else len(item)
+        for d, text in docs:
+            text = decontaminate.words_of(text)
+            for a in (a for a, w in enumerate(text) if w in item):
+                run = text[a : a + span]
+                x, y = decontaminate.lcs(item, run) / len(item), decontaminate.lcs(answer, run) / len(answer)
+                hit = run == item if len(item) < decontaminate.SHORT else x >= 0.8 or (x >= 0.6 and y >= 0.6)
+                if hit:
+                    found[d, i] = max(found.get((d, i), (0,)), (x, y, -a))
+    return found
+
+
+def test_leaks_by_the_rule(spark, monkeypatch):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("bcdfghaeiou") for _ in range(r.randint(2, 6))) for _ in range(500)]
+    pick = lambda n: [vocabulary[int(500 * r.random() ** 3)] for _ in range(n)]
+    items, docs = [], []
+    for i in range(14):
+        answer = pick(r.randint(3, 8))
+        items.append((i, f"{' '.join(pick(r.randint(8, 45)))}. {' '.join(answer)}."))
+        for _ in range(4):
+            body, tail = (part.split() for part in items[-1][1].rstrip(".").split(". "))
+            keep, grow = r.uniform(0.55, 1), r.uniform(1, 1.45)
+            out = [w if r.random() < keep else pick(1)[0] for w in body] + tail
+            for _ in range(int((grow - 1) * len(out))):
+                out.insert(r.randrange(1, len(out)), pick(1)[0])
+            docs.append((len(docs), " ".join(pick(r.randint(0, 90)) + out + pick(r.randint(0, 90)))))
+    items += [(20, "five words are an item"), (21, docs[0][1])]
+    docs += [(90, "here five words are an item too"), (91, "five words which are an item"), (92, " ".join(pick(3000)))]
+    want = plain_leaks(docs, items)
+    assert sum(x[0] < 0.8 for x in want.values()) > 5 and len(want) > 35
+    monkeypatch.setattr(decontaminate, "CHUNK", 100)
+    space = decontaminate.latent_space(spark.createDataFrame(docs, "doc_id long, text string"))
+    texts = [decontaminate.words_of(t) for _, t in docs]
+    few = {(docs[t][0], i): (x, y, -at) for t, i, x, y, _, at in decontaminate.leaks_of(texts, space, decontaminate.items_of(items, space))}
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert few == {(x["doc_id"], x["item_id"]): (x["similarity"], x["answer_similarity"], -x["word_start"]) for x in got} == want
+
+
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12))
 def test_common_subsequence(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
