@@ -380,6 +380,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows with a null id stay."""
-    leaky = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaky, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that leak an item; null ids and rows that share one are told apart by their text."""
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    leaky = find_leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(leaky, "_row", "left_anti").select(*docs.columns)

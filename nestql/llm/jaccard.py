@@ -430,13 +430,20 @@ def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[
 
 
 def keep_one(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[1], den: int = DEFAULT[2]) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component.
+    """``docs`` with one document, that of the smallest id (null last), of each component.
 
-    Rows with a null id, or without words, stay. Of rows that repeat an id, all
-    stay or go together.
+    Rows without words stay. Rows that share an id, or have none, are told apart by
+    a hash of their text; those alike in both stay or go together. Ids that are not
+    whole numbers are in the order of their strings.
     """
-    found = jaccard_components(docs, n, num, den).where("component_id != doc_id")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    number = F.col("doc_id").cast("string")
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 62) + F.lit(1 << 62)).cast("string"), 20, "0")
+    parts = F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(number, F.lit("")), F.lit("\x00"), F.xxhash64("text").cast("string")
+    row = F.concat(*parts)
+    found = jaccard_components(docs.select(row.alias("doc_id"), "text"), n, num, den).where("component_id != doc_id")
+    gone = found.select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def components_of_documents(docs: DataFrame) -> DataFrame:

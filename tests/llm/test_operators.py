@@ -317,6 +317,16 @@ def test_leaks(spark, odd, empty):
     assert clean.columns == odd.columns and clean.count() == odd.count()
 
 
+def test_keep_clean_of_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    pick = lambda n: " ".join("".join(r.choice("bcdfghaeiou") for _ in range(5)) for _ in range(n))
+    item, clean = pick(30), [pick(60) for _ in range(4)]
+    leak = f"{pick(20)} {item} {pick(20)}"
+    docs = spark.createDataFrame([(None, leak), (None, clean[0]), (1, leak), (1, clean[1]), (2, clean[2]), (3, None), (None, None)], "doc_id long, text string")
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["text"]) for x in kept} == {(None, clean[0]), (1, clean[1]), (2, clean[2]), (3, None), (None, None)}
+
+
 def plain_leaks(docs, items):
     """Best similarity, answer's and first start by the stated rule, over the runs from every word."""
     found = {}
@@ -409,6 +419,15 @@ def test_jaccard(odd, odd_rows, empty, setting):
     assert jaccard.jaccard_components(empty, *setting).collect() == []
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    r = random.Random(15)
+    pick = lambda n: " ".join("".join(r.choice("bcdfghaeiou") for _ in range(5)) for _ in range(n))
+    a, b, c, d = (pick(60) for _ in range(4))
+    rows = [(None, a), (9, a), (10, a), (-4, b), (2, b), (2, c), (None, d), (None, None), (7, ""), (8, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["text"]) for x in kept} == {(9, a), (-4, b), (2, c), (None, d), (None, None), (7, ""), (8, "")}
+
+
 @pytest.mark.parametrize("setting", [jaccard.CONTRACT, jaccard.DEFAULT])
 def test_jaccard_of_many_near_copies(spark, setting, monkeypatch):
     """Chains and large groups, with a passage in all documents, and pivots that fail."""
