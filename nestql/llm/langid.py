@@ -82,9 +82,11 @@ def build(counts: list[tuple[str, str, int]], max_words: int = MAX_WORDS) -> Mod
     for lang, word, n in counts:
         by_word.setdefault(word, {})[lang] = n
         for size in LENGTHS:
-            for g in grams_of(word[:LONG], size):
-                own = grams.setdefault(g, {})
-                own[lang] = own.get(lang, 0) + n
+            # In pieces, as words are looked up.
+            for i in range(0, len(word), LONG):
+                for g in grams_of(word[i : i + LONG], size):
+                    own = grams.setdefault(g, {})
+                    own[lang] = own.get(lang, 0) + n
     keep = sorted((w for w, c in by_word.items() if sum(c.values()) >= MIN_COUNT), key=lambda w: (-sum(by_word[w].values()), w))[:max_words]
     scores = _log_frequency(by_word, langs, keep)
     gram_keep, gram_scores = [], []

@@ -197,6 +197,11 @@ def test_backoff_order():
     assert p("²³ 12")[0] == "und"
 
 
+def test_long_words_are_fitted_whole():
+    m = langid.build([("a", "e" * langid.LONG + "zebra", 5), ("b", "e" * langid.LONG + "quilt", 5)])
+    assert [langid.Predictor(m)(w)[0] for w in ("zebrx", "quilx")] == ["a", "b"]
+
+
 # -- 5
 
 
