@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Letters A-Z to a-z and nothing else, as the word contracts ask.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -20,19 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset,
-    as in tests on one machine, a temporary folder is used.
+    Only where that is unset, as in tests on one machine, a temporary folder is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not context.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="nestql-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,28 +57,40 @@ def dealt_checkpoint(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of rounds that are over.
-
-    Spark drops shuffle files, checkpoints and plans of frames that are gone only
-    when the driver's garbage is collected, which in many small rounds comes late.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def saved(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read back: wide or large steps, by columns."""
+    path = f"{shared_folder(df.sparkSession)}/nestql-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def text_batches(
-    frames: Iterator[pd.DataFrame], text: str = "text"
-) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    """Each batch and its texts, with null as the empty text."""
-    for frame in frames:
-        yield frame, ["" if t is None else t for t in frame[text].tolist()]
+def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], added: str, start: Callable[[], Callable], step: int = 1024) -> DataFrame:
+    """Columns ``keep`` as they are, and beside them those (``added``, as DDL) that Python makes of ``inputs``.
 
-
-def map_frames(
-    df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
-) -> DataFrame:
-    return df.mapInPandas(fn, schema)
+    ``start`` is called once a task; what it returns gets the inputs of up to ``step``
+    rows, a list each, and returns a list for each added column. ``keep`` stays in Arrow, so
+    that ids are not turned into floats where one is null.
+    """
+    rows = df.select(*keep, *inputs)
+    new = StructType.fromDDL(added)
+    schema = StructType([*rows.schema.fields[: len(keep)], *new.fields])
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                made = make(*(part.column(i).to_pylist() for i in range(len(keep), part.num_columns)))
+                arrays = [part.column(i) for i in range(len(keep))]
+                arrays += [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -2,34 +2,38 @@
 
 The global order of n-grams is the order of their hashes, and it is cut into
 fragments. Two sets of similar size that are similar enough differ in at most
-``d`` n-grams, so of ``d + 1`` fragments at least one is equal in both: equal
-fragments propose the pairs. A proposed pair's overlap is then counted for each
-fragment of a second, coarser cut separately, in separate tasks, and summed.
+``d`` n-grams, so of ``count`` fragments at least ``count - d`` are equal in both:
+equal fragments propose the pairs. Of a proposed pair the overlap is counted in
+each fragment separately, and summed.
 
 Sizes fall into classes so that partners are in the same or the next class; the
-number of fragments is set for each class (Arasu et al., VLDB 2006). Fragments
-that hold only n-grams which very many documents share would pair documents for
-a common passage. They are left out where a document has more than ``d`` equal
-fragments to offer without them, which keeps the guarantee: of the equal
-fragments of a pair, at least one then has a rarer n-gram and is put forward by
-both. The counts that tell common n-grams come from a sketch over all documents
-and steer cost only, never results.
-
-Texts with equal sets are one node from the start. A pair shares not one but a
-known number of keys; a set with fewer keys than that in groups of more than
-``SMALL_GROUP`` is met in a small group by every partner. Only sets with more are
-left in the larger groups, and those are not paired in full: members are tried
-against a pivot, and only while they belong to different components; what pivots
-leave open is paired across components, so no link is lost.
+number of fragments is set for each class (Arasu et al., VLDB 2006).
+
+1. Each text puts forward a key for each fragment that holds n-grams. Equal texts
+   of a task do so once; a key that very many texts of a task have is dealt in
+   salted parts.
+2. Texts that share a key are compared with one of them, the key's pivot: a row
+   for each text and pivot, never a row for each pair of a group. A text with
+   fewer shared keys than any partner shares with it has no partner and is left out.
+3. Overlaps with pivots give links, links give components, and pivots with members
+   in one component are done.
+4. About other pivots, two members can still be similar. Each is written as its
+   difference from the group's center: the member nearest to what most members
+   hold. By the center, two members in different components that are similar share
+   a known number of the n-grams that are in their differences, so they share one of
+   the rarest few of them. Such pairs are counted, by their differences.
+
+Nothing is left to chance: every link of different texts is found, or both texts
+are in one component already.
 
 Defined results
 ---------------
 * null text or one without words: an empty set, linked with nothing;
 * fewer words than ``n``: the whole sequence is the one n-gram;
-* repeated ids: rows are grouped by id first, the smallest text hash stands for
-  the id in the set table, and every row gets its own set's component;
-* null id: a node like any other, but never the smallest id of a component
-  unless alone, as null is no id;
+* repeated ids: each row is answered by its own text, with the smallest id of the
+  component;
+* null id: a row like any other, but never the smallest id of a component; alone,
+  or among null ids only, its component is null;
 * empty table: no rows; extra columns: ignored (``keep_one`` keeps them);
 * very long text: its set is an array as long as it has distinct n-grams.
 """
@@ -40,30 +44,33 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nestql.llm.common import checkpointed, parallelism, release
+from nestql.llm.common import batch_of, beside, checkpointed, dealt_checkpoint, parallelism, saved
 from nestql.llm.components import connected_components
 
 #: (n-gram words, similarity numerator, denominator)
 CONTRACT = (3, 9, 10)
 DEFAULT = (5, 4, 5)
-SKETCH_BITS = 20
-COMMON = 64
-BUCKET_KEYS = 3_000_000
-FLUSH_KEYS = 2_000_000
-SMALL_GROUP = 6
-PIVOTS = 1
-#: Coarse fragments for counting overlaps, by the highest bits of the hash.
-COUNT_BITS = 3
+#: Keys and numbers of texts are of so many bits; equal ones of different texts cost a look, no more.
+NUMBER_BITS = 48
+FLUSH_KEYS = 1_000_000
+#: A key that so many texts of a task's flush have is dealt in SALTS parts.
+HOT = 256
+SALTS = 64
+#: Members that are compared with a pivot in one task.
+PIVOT_ROWS = 4096
+#: Fragments in which overlaps are counted, by the highest bits of the hash.
+COUNT_BITS = 4
 BLOOM_BITS = 1 << 26
 
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 STEP = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << NUMBER_BITS) - 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,10 +81,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def ngram_set(text: str | None, n: int) -> np.ndarray:
+def ngram_set(raw: bytes | str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams (A-Z lower-cased)."""
+    if isinstance(raw, str):
+        raw = raw.encode("utf-8", "surrogatepass")
     # Of bytes, lower() and split() know ASCII only: exactly the contract's words.
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    words = raw.lower().split() if raw else []
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -88,10 +97,6 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def set_id(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
-
-
 @lru_cache(maxsize=64)
 def size_classes(num: int, den: int, top: int) -> np.ndarray:
     """Largest size of each class, up to one class beyond ``top``."""
@@ -109,324 +114,357 @@ def fragments(group: int, ends: np.ndarray, num: int, den: int) -> tuple[int, in
     return d, int(np.ceil((d + 1) * spare))
 
 
-def fragment_keys(grams: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the fragments that a set puts forward, for both of its groups, the
-    lowest bit telling which, and for each of the two how many keys a partner
-    shares at least (0: no promise)."""
+def fragment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of a set's fragments for both of its groups, the lowest bit telling which,
+    and for each of the two how many keys a partner shares at least."""
     ends = size_classes(num, den, 1 << int(len(grams)).bit_length())
     own = int(np.searchsorted(ends, len(grams)))
-    out, shared = [], np.zeros(2, np.int32)
+    out, shared = [], [0, 0]
     for group in (own, own + 1):
         d, count = fragments(group, ends, num, den)
-        if d == 0:
-            continue  # only equal sets can match, and those are one node already
         # The fragment of a hash: its place among `count` equal cuts of the order.
         part = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        body = np.add.reduceat(mix(grams + STEP), starts)
-        frag = part[starts]
-        rare = np.logical_or.reduceat(~common, starts)
-        # A pair has at least count - d equal fragments, so one of them is rare here.
-        if int(rare.sum()) > d:
-            body, frag = body[rare], frag[rare]
-            shared[group & 1] = len(frag) - d
-        base = np.array(group * 2654435761 + 1, np.uint64) * STEP
-        low = np.uint64(group & 1)
-        out.append(mix((body ^ mix(frag + base)) + base) & ~np.uint64(1) | low)
+        body, frag = np.add.reduceat(mix(grams + STEP), starts), part[starts]
         if len(frag) <= d:
             # Too few to be sure of an equal one among them: empty ones count as well.
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[starts])
-            out.append(mix(mix(empty + base) + base) & ~np.uint64(1) | low)
-    return np.concatenate(out) if out else np.empty(0, np.uint64), shared
-
-
-def _key_count(n: int, num: int, den: int) -> int:
-    if not n:
-        return 0
-    ends = size_classes(num, den, 1 << n.bit_length())
-    own = int(np.searchsorted(ends, n))
-    return sum(f if (df := fragments(g, ends, num, den))[0] and (f := min(n, df[1])) else 0 for g in (own, own + 1))
-
-
-def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, sid, keys``: size, set id and number of fragments of each row."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sizes, sids = [], []
-            for t in frame["text"]:
-                g = ngram_set(t, n)
-                sizes.append(len(g))
-                sids.append(set_id(g))
-            keys = [_key_count(s, num, den) for s in sizes]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": sizes, "sid": sids, "keys": keys})
-
-    return rows.mapInPandas(run, f"doc_id {kind}, n_shingles long, sid long, keys long")
-
-
-def common_cells(docs: DataFrame, n: int) -> np.ndarray:
-    """Which cells of a count sketch of all documents' n-grams stand out."""
-    cells, width = 1 << SKETCH_BITS, 1 << 14
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros(cells, np.uint32), set()
-        for frame in frames:
-            for t in frame["text"]:
-                g = ngram_set(t, n)
-                if (sid := set_id(g)) not in seen:
-                    seen.add(sid)
-                    np.add.at(total, (g & np.uint64(cells - 1)).astype(np.int64), 1)
-        for i in range(0, cells, width):
-            yield pd.DataFrame({"block": [i // width], "counts": [total[i : i + width].tobytes()]})
-
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in block["counts"])
-        return pd.DataFrame({"block": block["block"].iloc[:1], "counts": [total.tobytes()]})
-
-    # As many tasks as the cluster runs at a time, about, as each sends a whole sketch.
-    few = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    parts = few.mapInPandas(count, "block int, counts binary")
-    summed = parts.groupBy("block").applyInPandas(add, "block int, counts binary").toPandas().sort_values("block")
-    if summed.empty:
-        return np.zeros(cells, bool)
-    total = np.frombuffer(b"".join(summed["counts"]), np.uint64).astype(np.float64)
-    level = float(np.median(total))
-    return total >= level + max(COMMON, 6 * level**0.5)
-
-
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def shared_fragments(docs: DataFrame, n: int, num: int, den: int, common: Broadcast, buckets: int) -> DataFrame:
-    """Set ids that put forward an equal fragment.
-
-    ``members`` has the two of a pair, from groups of up to SMALL_GROUP, or all of
-    a larger group. Rows with ``sid`` say how many of a set's keys lie in larger
-    groups, and how many a partner shares at least.
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), frag)
+            body, frag = np.r_[body, np.zeros(len(empty), np.uint64)], np.r_[frag, empty]
+        shared[group & 1] = len(frag) - d
+        base = np.array(group * 2654435761 + 1, np.uint64) * STEP
+        out.append((mix((body ^ mix(frag + base)) + base) >> np.uint64(64 - NUMBER_BITS)) & ~np.uint64(1) | np.uint64(group & 1))
+    return np.concatenate(out), shared
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with ``h, t``: a text's number and another hash, by which equal texts are known."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"h": F.xxhash64(text).bitwiseAND(F.lit(int(LOW))), "t": F.xxhash64(F.lit(1), text)})
+
+
+def document_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, h, t, n_shingles`` of each row."""
+    start = lambda: lambda texts: [[len(ngram_set(x, n)) for x in texts]]
+    return beside(numbered(docs), ["doc_id", "h", "t"], [F.col("text").cast("binary")], "n_shingles long", start)
+
+
+def text_keys(docs: DataFrame, n: int, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """``key, h, tag`` of every text's fragments, a text of a task once.
+
+    ``tag`` has the number of keys that a partner shares at least, times 256, and the
+    salted part (from 1), or 0. A hot key has a row of part 0 for each flush as well.
     """
-    cells = np.uint64((1 << SKETCH_BITS) - 1)
-
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, seen, sids, needs, keys, size = common.value, set(), [], [], [], 0
-
-        def flush() -> pd.DataFrame:
-            key, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            to = _split(key, buckets)
-            order = np.argsort(to, kind="stable")
-            key, row, to = key[order], row[order], to[order]
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            own, need, out = np.array(sids, np.int64), np.stack(needs), []
-            for b in range(buckets):
-                k, r = key[cuts[b] : cuts[b + 1]], row[cuts[b] : cuts[b + 1]]
-                if len(k):
-                    here, times = np.unique(r, return_counts=True)
-                    low = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                    out.append((b, own[here].tobytes(), need[here].tobytes(), times.astype(np.uint32).tobytes(), low))
-            return pd.DataFrame(out, columns=["bucket", "sids", "needs", "times", "keys"])
-
-        for frame in frames:
-            for t in frame["text"]:
-                g = ngram_set(t, n)
-                if len(g) and (sid := set_id(g)) not in seen:
-                    k, need = fragment_keys(g, flags[(g & cells).astype(np.int64)], num, den)
-                    if len(k):
-                        seen.add(sid)
-                        sids.append(sid)
-                        needs.append(need)
-                        keys.append(k)
-                        size += len(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, numbers, tags, size, flushes = set(), [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            times = [len(k) for k in keys]
+            key, h, need = np.concatenate(keys), np.repeat(np.array(numbers, np.int64), times), np.repeat(np.array(tags, np.int64), times, axis=0)
+            tag = np.where(key & np.uint64(1), need[:, 1], need[:, 0]) << 8
+            order = np.lexsort((h, key))
+            key, h, tag = key[order].view(np.int64), h[order], tag[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            counts = np.diff(np.r_[starts, len(key)])
+            many = counts >= hot
+            if many.any():
+                lead, rows = starts[many], len(key)
+                salt = np.zeros(len(counts), np.int64)
+                salt[many] = 1 + (mix((key[lead] + flushes * 7919).view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+                key, h, tag = np.r_[key, key[lead]], np.r_[h, h[lead]], np.r_[tag, tag[lead]]
+                tag[:rows] += np.repeat(salt, counts)
+            return batch_of(key=key, h=h, tag=tag)
+
+        for batch in batches:
+            for h, t, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (h, t) in seen:
+                    continue
+                seen.add((h, t))
+                if len(g := ngram_set(raw, n)):
+                    k, need = fragment_keys(g, num, den)
+                    keys.append(k), numbers.append(h), tags.append(need)
+                    size += len(k)
                 if size >= FLUSH_KEYS:
                     yield flush()
-                    sids, needs, keys, size = [], [], [], 0
-                    seen.clear()
+                    seen, keys, numbers, tags, size, flushes = set(), [], [], [], 0, flushes + 1
         if keys:
             yield flush()
 
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(block["keys"]), np.uint8).reshape(-1, 5)
-        key = np.zeros((len(low), 8), np.uint8)
-        key[:, :5] = low
-        key = key.view(np.uint64).reshape(-1)
-        times = np.frombuffer(b"".join(block["times"]), np.uint32)
-        sid = np.repeat(np.frombuffer(b"".join(block["sids"]), np.int64), times)
-        need = np.repeat(np.frombuffer(b"".join(block["needs"]), np.int32).reshape(-1, 2), times, axis=0)
-        need = np.where(key & np.uint64(1), need[:, 1], need[:, 0])
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]]
-        order = order[np.lexsort((sid[order], key[order]))]
-        key, sid, need = key[order], sid[order], need[order]
-        first = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])][: len(key)]
-        key, sid, need = key[first], sid[first], need[first]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        sizes = np.diff(np.r_[starts, len(key)])
-        pairs: set[tuple[int, int]] = set()
-        for m in range(2, SMALL_GROUP + 1):
-            own = sid[starts[sizes == m][:, None] + np.arange(m)]
-            for i in range(m):
-                for j in range(i):
-                    pairs.update(zip(own[:, j].tolist(), own[:, i].tolist(), strict=True))
-        big = starts[sizes > SMALL_GROUP]
-        groups = {sid[a : a + m].tobytes() for a, m in zip(big, sizes[sizes > SMALL_GROUP], strict=True)}
-        inside = np.repeat(sizes > SMALL_GROUP, sizes)
-        load = pd.DataFrame({"sid": sid[inside], "half": (key[inside] & np.uint64(1)).astype(np.int64), "need": need[inside], "load": 1})
-        load = load.groupby(["sid", "half"], as_index=False).agg(need=("need", "min"), load=("load", "sum"))
-        rows = pd.DataFrame({"members": [np.array(p, np.int64) for p in sorted(pairs)] + [np.frombuffer(g, np.int64) for g in sorted(groups)]})
-        numbers = ["sid", "half", "need", "load"]
-        # Nullable integers from the start: by way of floats, ids would lose their last bits.
-        rows = rows.assign(**{c: pd.array([pd.NA] * len(rows), "Int64") for c in numbers})
-        load = load[numbers].astype("Int64").assign(members=None)
-        out = pd.concat([rows, load[rows.columns]], ignore_index=True)
-        out["members"] = out["members"].astype(object).where(out["members"].notna(), None)
-        return out
-
-    blobs = docs.select("text").mapInPandas(emit, "bucket int, sids binary, needs binary, times binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "members array<long>, sid long, half long, need long, load long")
-
-
-def _bloom(ids: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for h in _bloom_places(ids):
-        np.bitwise_or.at(bits, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
-    return bits
-
-
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return [(x % np.uint64(BLOOM_BITS)).astype(np.int64) for x in (h, h >> np.uint64(32), mix(h + STEP))]
+    return numbered(docs).select("h", "t", F.col("text").cast("binary")).mapInArrow(run, "key long, h long, tag long")
 
 
-def _bloom_of(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size; with more ids it lets more through, and the exact join follows."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From keys in order: ``h, pivot, key, need`` of texts that share a key with another.
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for frame in frames:
-            total |= _bloom(frame["sid"].to_numpy())
-        used = np.flatnonzero(total.reshape(-1, 4096).any(axis=1))
-        yield pd.DataFrame({"block": used, "bits": [total.reshape(-1, 4096)[i].tobytes() for i in used]})
+    A key's pivot is its smallest number of part 0. Rows of salted parts have no pivot yet (-1); a
+    row without a text (h -1) tells the pivot of a key. Batches pass by; no group is held.
+    """
+    last_key = last_salt = last_h = pivot = -1
+    need = 0
+    waiting = False  # the pivot's row, until another text comes
+    for batch in batches:
+        key, h, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(key):
+            continue
+        salt = tag & 255
+        new = np.r_[(key[0] != last_key) | (salt[0] != last_salt), (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+        fresh = new | np.r_[h[0] != last_h, h[1:] != h[:-1]]
+        key, h, tag, salt, new = key[fresh], h[fresh], tag[fresh] >> 8, salt[fresh], new[fresh]
+        if not len(key):
+            continue
+        starts = np.flatnonzero(new)
+        if not new[0]:
+            starts = np.r_[0, starts]
+        sizes = np.diff(np.r_[starts, len(key)])
+        lead = h[starts].copy()
+        if not new[0]:
+            lead[0] = pivot
+        own = np.repeat(lead, sizes)
+        single = sizes == 1
+        if not new[0]:
+            single[0] = False
+        last_single = bool(single[-1]) and salt[-1] == 0
+        salted = salt > 0
+        out = ~np.repeat(single, sizes) | salted
+        parts = [(h[out], np.where(salted, -1, own)[out], key[out], tag[out])]
+        if waiting and not new[0]:
+            parts.append(([pivot], [pivot], [key[0]], [need]))
+        if starts[0] == 0 and not new[0]:
+            waiting = False
+        yield batch_of(**dict(zip(("h", "pivot", "key", "need"), (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in range(4)), strict=True)))
+        last_key, last_salt, last_h, pivot = int(key[-1]), int(salt[-1]), int(h[-1]), int(own[-1])
+        if len(starts) > 1 or new[0]:
+            waiting = last_single
+        if waiting:
+            need = int(tag[-1])
+
+
+def _resolved(met: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of salted parts get their key's pivot, the smallest number of its part 0."""
+    hot = met.where("pivot = -1")
+    if hot.isEmpty():
+        return met
+    named = hot.select("key").distinct()
+    pivots = keys.where("tag % 256 = 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("h").alias("pivot"))
+    return met.where("pivot != -1").unionByName(hot.drop("pivot").join(pivots, "key"))
+
+
+def star_pairs(docs: DataFrame, n: int, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """``p, x``: texts by number, with the pivots of the keys that they share with others."""
+    parts = parallelism(docs.sparkSession)
+    keys = text_keys(docs, n, num, den, hot)
+    dealt = keys.repartition(parts, "key", F.expr("tag % 256")).sortWithinPartitions("key", F.expr("tag % 256"), "h")
+    met = _resolved(saved(dealt.mapInArrow(_meet, "h long, pivot long, key long, need long")), keys)
+    half = Window.partitionBy("h", F.expr("key % 2"))
+    enough = met.withColumn("load", F.count(F.lit(1)).over(half)).where("load >= need and pivot != h")
+    return enough.select(F.col("pivot").alias("p"), F.col("h").alias("x")).distinct()
+
+
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(x % np.uint64(BLOOM_BITS)).astype(np.int64) for x in (h, h >> np.uint64(32), mix(h + STEP))]
 
-    def both(block: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in block["bits"]])
-        return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [bits.tobytes()]})
 
-    parts = ids.coalesce(8).mapInPandas(build, "block int, bits binary").groupBy("block").applyInPandas(both, "block int, bits binary")
+def bloom_of(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size for one column; with more ids it lets more through, and an exact join follows."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            for place in _places(batch.column(0).to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        blocks = bits.reshape(-1, 4096)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition has some of the blocks, whose number is fixed.
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = held.setdefault(block, np.zeros(4096, np.uint8))
+                own |= np.frombuffer(bits, np.uint8)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["block", "bits"])
+
+    schema = "block long, bits binary"
+    rows = ids.mapInArrow(build, schema).repartition(16, "block").mapInArrow(both, schema).toArrow()
     out = np.zeros((BLOOM_BITS // 8 // 4096, 4096), np.uint8)
-    for block, bits in parts.toPandas().itertuples(index=False):
+    for block, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[block] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
 
-def _fragment_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``sid, fragment, n, grams`` of the wanted sets, each once."""
-    held = docs.sparkSession.sparkContext.broadcast(_bloom_of(wanted))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = held.value
-        for frame in frames:
-            out = []
-            for t in frame["text"]:
-                g = ngram_set(t, n)
-                if not len(g):
-                    continue
-                sid = set_id(g)
-                if all(bits[int(p[0]) >> 3] >> (int(p[0]) & 7) & 1 for p in _bloom_places(np.array([sid]))):
-                    part = (g >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-                    cuts = np.searchsorted(part, np.arange((1 << COUNT_BITS) + 1))
-                    out += [(sid, f, len(g), g[cuts[f] : cuts[f + 1]].view(np.int64)) for f in range(1 << COUNT_BITS)]
-            if out:
-                yield pd.DataFrame(out, columns=["sid", "fragment", "n", "grams"])
-
-    made = docs.select("text").mapInPandas(run, "sid long, fragment int, n long, grams array<long>")
-    # Copies of a text give the same row; one of each is enough.
-    return made.join(wanted, "sid", "left_semi").groupBy("sid", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs ``a, b`` those that are similar enough: overlaps by fragment, summed."""
-    left = sets.select(F.col("sid").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("sid").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    size = sets.where("fragment = 0").select("sid", "n")
-    sized = pairs.join(size.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.join(size.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b")
-    overlap = F.size(F.array_intersect("ga", "gb")).cast("long")
-    counted = sized.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", overlap.alias("o"))
-    summed = counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return summed.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
-
-
-def linked_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``node, label``: the component of each set id that is linked with another."""
-    spark = docs.sparkSession
-    total = sets.agg(F.sum("keys")).first()[0] or 0
-    buckets = max(parallelism(spark), -(-int(total) // BUCKET_KEYS))
-    common = spark.sparkContext.broadcast(common_cells(docs, n))  # 2 ** SKETCH_BITS flags
-    met = checkpointed(shared_fragments(docs, n, num, den, common, buckets))
-    pairs = met.where(F.size("members") == 2).select(F.get("members", F.lit(0)).alias("a"), F.get("members", F.lit(1)).alias("b")).distinct()
-    # A pair shares at least `need` keys of a set that promises so. With fewer keys than
-    # that in larger groups, the pair met in a small one. Only sets without are left.
-    full = met.where("sid is not null").groupBy("sid", "half").agg(F.sum("load").alias("load"), F.min("need").alias("need"))
-    full = full.where("load >= need").select("sid").distinct()
-    large = met.where(F.size("members") > 2).select("members").distinct()
-    large = checkpointed(large.withColumn("gid", F.monotonically_increasing_id()))
-    large = checkpointed(
-        large.select("gid", F.explode("members").alias("sid")).join(full.hint("merge"), "sid", "left_semi")
-        .groupBy("gid").agg(F.sort_array(F.collect_list("sid")).alias("members")).where(F.size("members") > 1)
+def text_pool(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h, t, node, z``: the texts of the wanted numbers (h), each once, compressed, dealt by ``h``."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted))  # BLOOM_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            ok = np.ones(len(h), bool)
+            for place in _places(h):
+                ok &= (held.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            rows = []
+            for i in np.flatnonzero(ok).tolist():
+                who = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if who not in seen:
+                    seen.add(who)
+                    rows.append((*who, squeeze.compress(batch.column(2)[i].as_py() or b"")))
+            if rows:
+                h, t, z = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.int64()), pa.array(z, pa.binary())], names=["h", "t", "z"])
+
+    made = numbered(docs).select("h", "t", F.col("text").cast("binary")).mapInArrow(run, "h long, t long, z binary")
+    parts = parallelism(docs.sparkSession)
+    once = made.repartition(parts, "h").join(wanted, "h", "left_semi").groupBy("h", "t").agg(F.first("z").alias("z"))
+    return dealt_checkpoint(once.withColumn("node", F.monotonically_increasing_id()))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
+    """The overlap of two sets, counted in each fragment of the order and summed, and what one of them has alone."""
+    both = np.concatenate([a, b])
+    both.sort()
+    twice = both[1:] == both[:-1]
+    shared = both[:-1][twice]
+    counts = np.bincount((shared >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+    alone = ~(np.r_[twice, False] | np.r_[False, twice])[: len(both)]
+    return int(counts.sum()), both[alone]
+
+
+def compared(pairs: DataFrame, pool: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``np, nx, c, a, linked, diff`` of pairs ``p, x``: nodes, sizes, whether similar, and the n-grams of one alone.
+
+    A pivot's rows are dealt PIVOT_ROWS to a task, about.
+    """
+    salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("salts"))
+    many = salts.where("salts > 1")
+    salted = pairs.join(many, "p", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    pivots = salts.withColumnRenamed("p", "h").join(pool, "h").select(
+        F.col("h").alias("p"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("np"), F.col("z").alias("zp")
     )
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select(F.explode("members"))).distinct()
-    pool = checkpointed(_fragment_sets(docs, n, wanted))
-    found = checkpointed(_verified(pairs, pool, num, den))
-    release(spark)
-    labels, left = connected_components(found), large
-    for turn in range(PIVOTS + 1):
-        # Members with their components; a group of one component has no more to give.
-        rows = left.select("gid", F.explode("members").alias("sid")).join(
-            labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left"
-        ).withColumn("label", F.coalesce("label", "sid"))
-        state = rows.groupBy("gid").agg(
-            F.sort_array(F.collect_list(F.struct("sid", "label"))).alias("m"), F.count_distinct("label").alias("labels")
-        ).where("labels > 1")
-        state = checkpointed(state.select("gid", "m"))
-        if state.isEmpty():
-            break
-        if turn < PIVOTS:
-            pivot = F.element_at("m", F.least(F.lit(turn + 1), F.size("m")))
-            others = F.filter("m", lambda x: x["label"] != pivot["label"])
-            more = state.select(pivot["sid"].alias("p"), F.explode(others["sid"]).alias("q"))
-        else:
-            across = F.filter("m", lambda y: (y["label"] != F.col("x.label")) & (y["sid"] > F.col("x.sid")))
-            more = state.select("m", F.explode("m").alias("x")).select(F.col("x.sid").alias("p"), F.explode(across["sid"]).alias("q"))
-        more = more.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        found = checkpointed(found.union(_verified(more, pool, num, den)).distinct())
-        left = state.select("gid", F.col("m.sid").alias("members"))
-        labels = connected_components(found)
-    return labels
-
-
-def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[1], den: int = DEFAULT[2]) -> DataFrame:
+    members = salted.withColumnRenamed("x", "h").join(pool, "h").select("p", "salt", F.col("node").alias("nx"), F.col("z").alias("zx"))
+    joined = members.join(pivots.hint("merge"), ["p", "salt"]).select("np", "nx", "zp", "zx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, last, grams = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                np_, nx = part.column(0).to_pylist(), part.column(1).to_pylist()
+                c, a, linked, diffs = [], [], [], []
+                for i, p in enumerate(np_):
+                    if p != last:
+                        last, grams = p, ngram_set(expand.decompress(part.column(2)[i].as_py()), n)
+                    own = ngram_set(expand.decompress(part.column(3)[i].as_py()), n)
+                    o, diff = overlap(grams, own)
+                    c.append(len(grams)), a.append(len(own)), diffs.append(diff.view(np.int64))
+                    linked.append(o * den >= (len(grams) + len(own) - o) * num)
+                values = pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, diffs)]), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(c, pa.int64()), pa.array(a, pa.int64()), pa.array(linked, pa.bool_()), lists],
+                    names=["np", "nx", "c", "a", "linked", "diff"],
+                )
+
+    return joined.mapInArrow(run, "np long, nx long, c long, a long, linked boolean, diff array<long>")
+
+
+def _difference(a: str, b: str) -> F.Column:
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def links_about_centers(rows: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: labels of similar members of a pivot that are in different components.
+
+    ``rows`` are of ``compared``. See step 4 of the module's text. With sizes a, b, c of two
+    members and the center, and u, v of their differences from it, similar members hold
+    (u + v - most) / 2 common elements in these, most = (a + b) (den - num) / (den + num).
+    A member is near, that is linked with the center, if u <= (a + c) (den - num) / (den + num).
+    Of two near members nothing need be found, so one of the two has a greater difference; this
+    bounds from below how many common elements any partner of a member has (``least``).
+    """
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    known = rows.select("np", "nx", "c", "a", "diff").join(of("nx"), "nx", "left").join(of("np"), "np", "left")
+    known = known.withColumns({"lx": F.coalesce("lnx", "nx"), "lp": F.coalesce("lnp", "np")}).drop("lnx", "lnp")
+    groups = known.groupBy("np").agg(
+        F.count(F.lit(1)).alias("m"), F.first("c").alias("c"), F.first("lp").alias("lp"), F.max((F.col("lx") != F.col("lp")).cast("int")).alias("open")
+    ).where("m > 1 and open = 1")
+    members = known.select("np", "nx", "a", "lx", "diff").join(groups.select("np", "m"), "np")
+    pivots = groups.select("np", F.col("np").alias("nx"), F.col("c").alias("a"), F.col("lp").alias("lx"), F.array().cast("array<long>").alias("diff"), "m")
+    members = checkpointed(members.unionByName(pivots))
+    if members.isEmpty():
+        return members.select(F.col("nx").alias("a"), F.col("lx").alias("b"))
+    # What most members hold unlike the pivot; the center is nearest to it.
+    counts = members.select("np", "m", F.explode("diff").alias("gram")).groupBy("np", "m", "gram").agg(F.count(F.lit(1)).alias("k"))
+    most = counts.where("2 * k > m + 1").groupBy("np").agg(F.collect_list("gram").alias("most"))
+    turned = members.join(most, "np", "left").withColumn("diff", F.when(F.col("most").isNull(), F.col("diff")).otherwise(_difference("diff", "most"))).drop("most")
+    center = turned.groupBy("np").agg(F.min(F.struct(F.size("diff").alias("u"), "nx", "a", "lx", "diff")).alias("q"))
+    center = center.select("np", F.col("q.nx").alias("nq"), F.col("q.a").alias("c"), F.col("q.lx").alias("lq"), F.col("q.diff").alias("dq"))
+    about = turned.join(center, "np").withColumn("diff", _difference("diff", "dq")).drop("dq", "np", "m").withColumn("u", F.size("diff").cast("long"))
+    # Groups of several pivots that have one center are one group from here on.
+    about = about.dropDuplicates(["nq", "nx"])
+    share, other = f"({den - num})", f"({den + num})"
+    about = about.withColumn("near", F.expr(f"u * {other} <= (a + c) * {share}"))
+    one_far = F.expr(f"cast(floor((u * {other} + (c - a) * {share}) / (2.0 * {other}) - 1e-9) as long) + 1")
+    near_far = F.expr(f"greatest(1, cast(ceil(u - (a + least(a, c) * {den} / {num}) * {share} / {other} - 1e-9) as long))")
+    about = about.withColumn("least", F.greatest(F.lit(1), F.when(F.col("near"), one_far).otherwise(F.least(one_far, near_far))))
+    about = checkpointed(about)
+    to_center = about.where("near and lx != lq").select(F.col("lx").alias("a"), F.col("lq").alias("b"))
+    # Of a member's elements in order of their number in the group, as many come first as two similar members must share one of.
+    own = ["nq", "nx", "lx", "near", "u", "a", "least"]
+    grams = about.select(*own, F.explode("diff").alias("gram"))
+    counts = about.select("nq", F.explode("diff").alias("gram")).groupBy("nq", "gram").agg(F.count(F.lit(1)).alias("k"))
+    first = grams.join(counts, ["nq", "gram"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("order"))
+    first = first.select(*own[:-1], F.posexplode(F.expr("slice(order, 1, cast(u - least + 1 as int))")).alias("place", "e")).where("e.k > 1")
+    first = first.select(*own[:-1], "place", F.col("e.gram").alias("gram"))
+    side = lambda df, name, *more: df.select("nq", *more, F.col("nx").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in ("nq", "nx", *more)])
+    # The first element that two members share leaves room for as many as they must share.
+    room = F.expr(f"2 * least(x_u - x_place, y_u - y_place) * {other} >= (x_u + y_u) * {other} - (x_a + y_a) * {share}")
+    pairs = side(first, "x", "gram").join(side(first, "y", "gram"), ["nq", "gram"]).where("x < y and x_lx != y_lx and not (x_near and y_near)").where(room)
+    held = about.select("nq", "nx", "lx", "a", "u", "diff")
+    counted = pairs.select("nq", "x", "y").distinct().join(side(held, "x"), ["nq", "x"]).join(side(held, "y"), ["nq", "y"])
+    apart = F.expr("x_u + y_u - 2 * size(array_intersect(x_diff, y_diff))")
+    found = counted.where(apart * F.expr(other) <= F.expr(f"(x_a + y_a) * {share}")).select(F.col("x_lx").alias("a"), F.col("y_lx").alias("b"))
+    return checkpointed(to_center.union(found).distinct())
+
+
+def linked_texts(docs: DataFrame, n: int, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """``h, t, label`` of texts that are linked with a different one."""
+    stars = saved(star_pairs(docs, n, num, den, hot))
+    pool = text_pool(docs, stars.select(F.col("p").alias("h")).union(stars.select("x")).distinct())
+    rows = saved(compared(stars, pool, n, num, den))
+    labels = connected_components(rows.where("linked").select(F.col("np").alias("a"), F.col("nx").alias("b")))
+    more = links_about_centers(rows, labels, num, den)
+    if not more.isEmpty():
+        again = connected_components(more).select(F.col("node").alias("label"), F.col("label").alias("after"))
+        nodes = labels.select("node", "label").unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("label")))
+        nodes = nodes.groupBy("node").agg(F.min("label").alias("label"))
+        labels = nodes.join(again, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
+    return pool.select("h", "t", "node").join(labels, "node").select("h", "t", "label")
+
+
+def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[1], den: int = DEFAULT[2], hot: int = HOT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``.
 
     Documents link at a Jaccard similarity of ``num / den`` or more of their
     word ``n``-gram sets; ``component_id`` is the smallest id reachable.
     """
     docs = docs.select("doc_id", "text")
-    sets = checkpointed(document_sets(docs, n, num, den))
-    labels = linked_sets(docs, sets, n, num, den)
-    filled = sets.where("n_shingles > 0")
-    classes = filled.groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    roots = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = classes.join(roots, "label").select("sid", "component_id")
-    # Sets that stand alone need no join; a hot set has one row on the other side.
-    salted = by_set.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    out = rows.join(salted, ["sid", "salt"], "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce(alone, F.col("component_id"), F.col("doc_id")).alias("component_id"))
+    rows = saved(document_sizes(docs, n))
+    texts = rows.where("n_shingles > 0").groupBy("h", "t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    linked = linked_texts(docs, n, num, den, hot)
+    labelled = texts.join(linked, ["h", "t"])
+    roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled.join(roots, "label").select("h", "t", "component_id")
+    # A text that stands alone, with one row, needs no other; a hot one has one row on the other side, salted.
+    alone = texts.where("copies > 1").join(named, ["h", "t"], "left_anti").select("h", "t", F.col("least").alias("component_id"))
+    salted = named.union(alone).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(salted, ["h", "t", "salt"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("component_id"), F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[1], den: int = DEFAULT[2]) -> DataFrame:

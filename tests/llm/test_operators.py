@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -433,45 +434,64 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert {(x["doc_id"], x["text"]) for x in kept} == {(9, a), (-4, b), (2, c), (None, d), (None, None), (7, ""), (8, "")}
 
 
-@pytest.mark.parametrize("setting", [jaccard.CONTRACT, jaccard.DEFAULT])
-def test_jaccard_of_many_near_copies(spark, setting, monkeypatch):
-    """Chains and large groups, with a passage in all documents, and pivots that fail."""
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", 2)
-    monkeypatch.setattr(jaccard, "COMMON", 20)
-    r = random.Random(4)
+def near_copies(seed, sizes, copies, most):
+    """Chains and clouds of near copies, some with edits of their own and some with edits of others, with a passage in all."""
+    r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(2000)]
     passage = [r.choice(vocabulary) for _ in range(30)]
-    rows, i = [], 0
-    for size in (40, 90, 150):
-        text = [r.choice(vocabulary) for _ in range(size)] + passage
-        for _ in range(16):
-            rows.append((i, " ".join(text)))
-            i += 1
+    rows = []
+    for size in sizes:
+        base = [r.choice(vocabulary) for _ in range(size)] + passage
+        chain = list(base)
+        for _ in range(copies):
             for _ in range(r.randint(0, 3)):
-                text[r.randrange(size)] = r.choice(vocabulary)
+                chain[r.randrange(size)] = r.choice(vocabulary)
+            cloud = list(base)
+            for _ in range(r.randint(0, most)):
+                cloud[r.randrange(size)] = r.choice(vocabulary)
+            if r.random() < 0.3:
+                at = r.randrange(size // 2)
+                del cloud[at : at + r.randint(1, size // 6)]
+            rows += [" ".join(chain), " ".join(cloud)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("setting", [jaccard.CONTRACT, jaccard.DEFAULT])
+@pytest.mark.parametrize("hot", [2, 256])
+def test_jaccard_of_many_near_copies(spark, setting, hot):
+    rows = near_copies(4 + hot, (12, 40, 90, 150), 40, 14)
     want = sorted((d, *w) for (d, _), w in zip(rows, plain_components(rows, *setting), strict=True))
-    got = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), *setting).collect()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.jaccard_components(docs, *setting, hot=hot).collect()))
     assert got == want
+    assert len({w for *_, w in want}) < len(rows) - 20
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(10, 160), st.integers(0, 40), st.sampled_from([(9, 10), (4, 5)]), st.integers(0, 10**6))
-def test_similar_sets_share_a_key(size, edits, ratio, seed):
+@given(st.integers(1, 160), st.integers(0, 40), st.sampled_from([(9, 10), (4, 5)]), st.integers(0, 10**6))
+def test_similar_sets_share_keys(size, edits, ratio, seed):
     r = np.random.default_rng(seed)
-    pool = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
+    pool = np.unique(r.integers(0, 2**64, 400, np.uint64))
+    r.shuffle(pool)
     a = np.sort(pool[:size])
     b = np.sort(np.concatenate([a[min(edits, size - 1) :], pool[size : size + edits]]))
     both, num, den = len(np.intersect1d(a, b)), *ratio
-    if den * both >= num * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
-        common = r.random(len(pool)) < 0.4
-        flag = lambda s: common[np.searchsorted(pool, s)]
-        (x, sx), (y, sy) = jaccard.fragment_keys(a, flag(a), num, den), jaccard.fragment_keys(b, flag(b), num, den)
-        shared = np.intersect1d(x, y)
-        assert len(shared)
-        for half in (0, 1):
-            mine = int((shared & np.uint64(1) == half).sum())
-            if mine:
-                assert mine >= max(sx[half] if sx[half] else 0, sy[half] if sx[half] and sy[half] else 0)
+    if den * both >= num * (len(a) + len(b) - both):
+        (x, sx), (y, sy) = jaccard.fragment_keys(a, num, den), jaccard.fragment_keys(b, num, den)
+        shared = [int((np.intersect1d(x, y) & np.uint64(1) == half).sum()) for half in (0, 1)]
+        assert any(n and n >= max(sx[half], sy[half]) for half, n in enumerate(shared))
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 2), st.integers(0, 5)), max_size=40), st.integers(1, 5))
+def test_texts_of_a_key_meet_their_pivot(rows, size):
+    rows = sorted((k, s, h) for k, s, h in rows)
+    columns = [np.array([x[i] for x in rows], np.int64) for i in range(3)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(columns[0][a : a + size]), pa.array(columns[2][a : a + size]), pa.array(columns[1][a : a + size] + 256 * 3)], names=["key", "h", "tag"]) for a in range(0, len(rows), size))
+    got = sorted((x["key"], x["h"], x["pivot"], x["need"]) for b in jaccard._meet(batches) for x in b.to_pylist())
+    groups = defaultdict(set)
+    for k, s, h in rows:
+        groups[k, s].add(h)
+    assert got == sorted((k, h, -1 if s else min(g), 3) for (k, s), g in groups.items() for h in g if s or len(g) > 1)
 
 
 # -- 9
