@@ -23,8 +23,7 @@ item's words.
 Defined results
 ---------------
 * null text, or one without words: never a leak; null or empty items: ignored;
-* items under ``SHORT`` words must occur whole, word for word, as a subsequence
-  of a run no longer than they are;
+* short items: by the same rule, so one of a single word is leaked by that word;
 * repeated ids: one row for an id and item, the best; null ids: kept as an id;
 * ties of the best window: the first; empty tables: no rows;
 * extra columns: ignored (``keep_clean`` keeps them);
@@ -39,10 +38,11 @@ from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD_BITS = 14
 RANK = 64
@@ -55,7 +55,6 @@ GROUP = 1 << 16
 ANCHORED = 0.5
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.6
 SPAN = 1.5
-SHORT = 8
 ITEM_BLOCK = 20_000
 SEED = 20_240_501
 
@@ -64,9 +63,10 @@ SEED = 20_240_501
 MARKS = bytes.maketrans(b".,;:!?()[]\"'", b" " * 12)
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words in lower case (A-Z), without marks."""
-    return text.encode("utf-8", "surrogatepass").translate(MARKS).lower().split() if text else []
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    return raw.translate(MARKS).lower().split() if raw else []
 
 
 def buckets_of(words: list[bytes]) -> np.ndarray:
@@ -74,11 +74,11 @@ def buckets_of(words: list[bytes]) -> np.ndarray:
     return (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
 
-def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Hashed words of many passages at a time, a row each; the last of a text is padded by 2 ** WORD_BITS."""
     parts, size = [], 0
-    for frame in frames:
-        for t in frame["text"]:
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
             ids = buckets_of(words_of(t))
             if len(ids):
                 rows = np.full((-(-len(ids) // PASSAGE), PASSAGE), 1 << WORD_BITS, np.int64)
@@ -93,29 +93,36 @@ def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         yield np.concatenate(parts)
 
 
-def _few(docs: DataFrame) -> DataFrame:
-    """As many tasks as the cluster runs at a time, about, as each sends a matrix."""
-    return docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
-
-
 def _summed(docs: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over tasks of a matrix of this shape; ``partial`` makes a task's."""
+    """The sum over tasks of a matrix of this shape; ``partial`` makes a task's.
+
+    A task's matrix is cut in blocks of rows, and each block is added up in one task, batch by batch.
+    """
     step = max(1, shape[0] // 32)
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = partial(frames)
-        for i in range(0, shape[0], step):
-            yield pd.DataFrame({"block": [i // step], "m": [m[i : i + step].astype(np.float32).tobytes()]})
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = partial(batches)
+        if m is not None:
+            for i in range(0, shape[0], step):
+                yield _block(i // step, m[i : i + step].astype(np.float32))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0.0) + np.frombuffer(m, np.float32).astype(np.float64)
+        for i, m in total.items():
+            yield _block(i, m)
+
+    schema = "block long, m binary"
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(send, schema).repartition(32, "block").mapInArrow(add, schema).toArrow()
+    if not rows.num_rows:
+        return np.zeros(shape)
+    return np.frombuffer(b"".join(rows.sort_by("block").column("m").to_pylist()), np.float64).reshape(shape)
 
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in block["m"])
-        return pd.DataFrame({"block": block["block"].iloc[:1], "m": [total.tobytes()]})
 
-    schema = "block int, m binary"
-    rows = _few(docs).mapInPandas(send, schema).groupBy("block").applyInPandas(add, schema).toPandas().sort_values("block")
-    if rows.empty:
-        return np.zeros(shape)
-    return np.frombuffer(b"".join(rows["m"]), np.float64).reshape(shape)
+def _block(i: int, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([m.tobytes()], pa.binary())], names=["block", "m"])
 
 
 @dataclass
@@ -130,27 +137,27 @@ class Space:
 def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     words, width = 1 << WORD_BITS, rank + EXTRA
 
-    def counts(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = np.zeros((words, 2))
-        for frame in frames:
-            for t in frame["text"]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
                 b = buckets_of(list(set(words_of(t))))
                 if len(b):
                     total[np.unique(b), 0] += 1
                     total[0, 1] += 1
-        return total
+        return total if total[0, 1] else None
 
     df = _summed(docs, counts, (words, 2))
     idf = np.log((df[0, 1] + 1) / (df[:, 0] + 1)) + 0.1
     square = idf**2
     start, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((words, width)))
 
-    def power(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+    def power(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         # The last but one column adds up the rows of A, for their mean; the last counts them.
         total = np.zeros((width + 2, words + 1))
         m = np.concatenate([(idf[:, None] * start), np.zeros((1, width))]).astype(np.float32)
         squares = np.r_[square, 0.0]
-        for ids in _passages(frames):
+        for ids in _passages(batches):
             norm = np.sqrt(squares[ids].sum(axis=1))
             rows = m[ids].sum(axis=1).T / norm
             rows = np.concatenate([rows, np.ones((1, len(ids)))]) / norm
@@ -158,6 +165,8 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
             for j in range(width + 1):
                 total[j] += np.bincount(flat, np.repeat(rows[j], PASSAGE), words + 1)
             total[-1, 0] += len(ids)
+        if not total[-1, 0]:
+            return None
         total[:-1] *= np.r_[idf, 0.0]
         return np.ascontiguousarray(total[:, :words].T)
 
@@ -243,8 +252,7 @@ def items_of(rows: list[tuple], space: Space) -> Items | None:
         if not (item := words_of(text)):
             continue
         n, buckets = len(item), buckets_of(item)
-        short = n < SHORT
-        fewest = n if short else next(m for m in range(n + 1) if m / n >= WEAK)
+        fewest = next(m for m in range(n + 1) if m / n >= WEAK)
         count, rarity = Counter(item), dict(zip(item, space.idf[buckets].tolist(), strict=True))
         held = 0
         for w in sorted(count, key=lambda w: (-rarity[w], w)):  # noqa: B023
@@ -256,7 +264,7 @@ def items_of(rows: list[tuple], space: Space) -> Items | None:
             posts[numbers[w]].append(len(ids))
         answer = answer_of(text)
         ids.append(item_id), words.append(item), where.append(places_of(item)), answers.append((places_of(answer), len(answer)))
-        vectors.append(unit_vector(space, buckets)), need.append(fewest), spans.append(n if short else round(SPAN * n)), least.append(held - n + fewest)
+        vectors.append(unit_vector(space, buckets)), need.append(fewest), spans.append(round(SPAN * n)), least.append(held - n + fewest)
     if not ids:
         return None
     counts = np.array([len(x) for x in posts], np.int64)
@@ -297,7 +305,7 @@ def candidates(parts: list[list[bytes]], items: Items) -> Iterator[tuple[int, in
 
 def best_run(words: list[bytes], items: Items, i: int, first: int, last: int) -> tuple | None:
     """(similarity, answer's, minus the start) of the best leak that starts up to ``last``, and holds ``first`` or a later place."""
-    item, where, n, span = items.words[i], items.where[i], len(items.words[i]), int(items.spans[i])
+    where, n, span = items.where[i], len(items.words[i]), int(items.spans[i])
     low = max(0, first - span + 1)
     at = [p for p, w in enumerate(words[low : last + span], low) if w in where]
     ends = np.searchsorted(at, np.array(at) + span).tolist()
@@ -312,8 +320,7 @@ def best_run(words: list[bytes], items: Items, i: int, first: int, last: int) ->
         if share < WEAK:
             continue
         answer = common(places, size, run) / size if size else share
-        hit = run == item if n < SHORT else share >= STRONG or answer >= ANSWER
-        if hit and (best is None or (share, answer, -a) > best):
+        if (share >= STRONG or answer >= ANSWER) and (best is None or (share, answer, -a) > best):
             best = (share, answer, -a)
     return best
 
@@ -355,6 +362,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
     space = latent_space(docs)
     kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, answer_similarity double, cosine double, word_start long"
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     blocks = max(1, -(-items.count() // item_block))
     out = None
     for block in range(blocks):
@@ -362,16 +370,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         held = spark.sparkContext.broadcast((space, items_of([tuple(r) for r in own], space)))
 
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             space, items = held.value
-            for frame in frames:
-                for lo in range(0, len(frame), 256):
-                    ids = frame["doc_id"].iloc[lo : lo + 256].tolist()
-                    rows = [(ids[t], *x) for t, *x in leaks_of([words_of(t) for t in frame["text"].iloc[lo : lo + 256]], space, items)]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    rows = list(leaks_of([words_of(t) for t in part.column(1).to_pylist()], space, items))
                     if rows:
-                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                        t, item_id, *scores, start = zip(*rows, strict=True)
+                        columns = [part.column(0).take(pa.array(t)), pa.array(item_id, item_type), *[pa.array(x, pa.float64()) for x in scores], pa.array(start, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-        found = docs.mapInPandas(run, schema)
+        found = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     best = F.max(F.struct("similarity", "answer_similarity", "cosine", (-F.col("word_start")).alias("place"))).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select(

@@ -15,7 +15,7 @@ Defined results
 * ties: the language that comes first by code point;
 * null id: hashed as the empty text; repeated rows: answered row by row;
 * empty table: no rows; extra columns: ignored;
-* very long text: words over ``LONG`` letters are looked up in pieces.
+* very long text or word: read whole, in fitting and in prediction.
 """
 
 from __future__ import annotations
@@ -27,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestql.llm.common import beside, checkpointed
+
 FIT_ROWS = 8_000
-MAX_WORDS = 200_000
 LENGTHS = (4, 3, 2, 1)
-LONG = 64
-MIN_COUNT = 2
+#: Unseen words of fewer letters are looked up once and kept, for speed.
+KEPT = 64
 SMOOTH = 0.5
 #: Doubles the odds a text of so many words can give; keeps short texts modest.
 EVIDENCE = 30.0
@@ -61,99 +64,109 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Words and n-grams, a line each, with their log frequencies by language."""
+
     langs: list[str]
-    rows: dict[str, int]
+    words: str
     scores: np.ndarray
-    gram_rows: dict[str, int]
+    grams: str
     gram_scores: np.ndarray
 
 
-def _log_frequency(counts: dict[str, dict[str, int]], langs: list[str], keep: list[str]) -> np.ndarray:
-    table = np.array([[counts[k].get(x, 0) for x in langs] for k in keep], np.float64).reshape(len(keep), len(langs))
-    total = table.sum(axis=0) + SMOOTH * (len(keep) + 1)
-    return np.log((table + SMOOTH) / total).astype(np.float32)
-
-
-def build(counts: list[tuple[str, str, int]], max_words: int = MAX_WORDS) -> Model:
-    """A model of (lang, word, count) rows."""
-    langs = sorted({x for x, _, _ in counts})
-    by_word: dict[str, dict[str, int]] = {}
-    grams: dict[str, dict[str, int]] = {}
-    for lang, word, n in counts:
-        by_word.setdefault(word, {})[lang] = n
-        for size in LENGTHS:
-            # In pieces, as words are looked up.
-            for i in range(0, len(word), LONG):
-                for g in grams_of(word[i : i + LONG], size):
-                    own = grams.setdefault(g, {})
-                    own[lang] = own.get(lang, 0) + n
-    keep = sorted((w for w, c in by_word.items() if sum(c.values()) >= MIN_COUNT), key=lambda w: (-sum(by_word[w].values()), w))[:max_words]
-    scores = _log_frequency(by_word, langs, keep)
-    gram_keep, gram_scores = [], []
-    for size in LENGTHS:
-        own = sorted(g for g, c in grams.items() if len(g) == size and sum(c.values()) >= MIN_COUNT)
-        gram_keep += own
-        gram_scores.append(_log_frequency(grams, langs, own))
-    return Model(
-        langs, {w: i for i, w in enumerate(keep)}, scores,
-        {g: i for i, g in enumerate(gram_keep)}, np.concatenate(gram_scores) if gram_scores else np.zeros((0, len(langs)), np.float32),
-    )
-
-
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Fit on ``doc_id, text, lang`` rows; only the sampled rows' word counts reach the driver."""
+def _scored(counts: pa.Table, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys of ``lang, key, n`` rows in order, and their log frequencies."""
+    coded = counts.column("key").combine_chunks().dictionary_encode()
+    keys = coded.dictionary.to_pylist()
+    table = np.zeros((len(keys), len(langs)))
+    lang = np.searchsorted(np.array(langs), np.array(counts.column("lang").to_pylist(), object).astype(str)) if len(keys) else np.empty(0, np.int64)
+    np.add.at(table, (coded.indices.to_numpy(zero_copy_only=False), lang), counts.column("n").to_numpy())
+    total = table.sum(axis=0) + SMOOTH * (len(keys) + 1)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [keys[i] for i in order], np.log((table + SMOOTH) / total).astype(np.float32)[order]
+
+
+def build(words: pa.Table, grams: pa.Table) -> Model:
+    """A model of ``lang, key, n`` rows of words and of n-grams."""
+    langs = sorted(set(words.column("lang").to_pylist()))
+    known, scores = _scored(words, langs)
+    size = pc.utf8_length(grams.column("key"))
+    by_size = [_scored(grams.filter(pc.equal(size, n)), langs) for n in LENGTHS]
+    gram_scores = np.concatenate([x for _, x in by_size]) if langs else np.zeros((0, 0), np.float32)
+    return Model(langs, "\n".join(known), scores, "\n".join(g for keys, _ in by_size for g in keys), gram_scores)
+
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n`` of the words in ``lang, text`` rows."""
+    for batch in batches:
+        by: dict[str, Counter] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, Counter()).update(words_of(text))
+        yield _rows(by)
+
+
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n`` of the n-grams in rows of ``word_counts``."""
+    for batch in batches:
+        by: dict[str, Counter] = {}
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = by.setdefault(lang, Counter())
+            for size in LENGTHS:
+                for g in grams_of(word, size):
+                    own[g] += n
+        yield _rows(by)
+
+
+def _rows(by: dict[str, Counter]) -> pa.RecordBatch:
+    lang = [x for x, c in by.items() for _ in c]
+    key, n = [k for c in by.values() for k in c], [v for c in by.values() for v in c.values()]
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.string()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on ``doc_id, text, lang`` rows; only counts of the sampled rows' words and n-grams reach the driver."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = rows.select("lang").count()
-    if not total:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     if total > fit_rows:
         part = int(fit_rows / total * (1 << 32))
         rows = rows.where(F.pmod(key, F.lit(1 << 32)) < part)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            by: dict[str, Counter] = {}
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
-                by.setdefault(lang, Counter()).update(words_of(text))
-            out = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
-            yield pd.DataFrame(out, columns=["lang", "word", "n"])
-
-    counts = rows.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-    summed = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    return build(list(zip(summed["lang"], summed["word"], summed["n"], strict=True)), max_words)
+    schema = "lang string, key string, n long"
+    words = checkpointed(rows.select("lang", "text").mapInArrow(word_counts, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    grams = words.mapInArrow(gram_counts, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return build(words.toArrow(), grams.toArrow())
 
 
 class Predictor:
     """Looks words up; scores of unseen words are kept up to a bound."""
 
     def __init__(self, model: Model, cache: int = 200_000):
-        self.m, self.cache, self.room = model, {}, cache
+        self.langs, self.scores, self.gram_scores = model.langs, model.scores, model.gram_scores
+        self.rows, self.gram_rows = ({k: i for i, k in enumerate(x.split("\n"))} for x in (model.words, model.grams))
+        self.cache, self.room = {}, cache
         self.none = np.zeros(len(model.langs), np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         if (got := self.cache.get(word)) is not None:
             return got
-        out = self._back_off(word) if len(word) <= LONG else sum(
-            (self._back_off(word[i : i + LONG]) for i in range(0, len(word), LONG)), self.none
-        )
-        if len(self.cache) >= self.room:
-            self.cache.clear()
-        self.cache[word] = out
+        out = self._back_off(word)
+        if len(word) < KEPT:
+            if len(self.cache) >= self.room:
+                self.cache.clear()
+            self.cache[word] = out
         return out
 
     def _back_off(self, word: str) -> np.ndarray:
         for n in LENGTHS:
-            known = [i for g in grams_of(word, n) if (i := self.m.gram_rows.get(g)) is not None]
+            known = [i for g in grams_of(word, n) if (i := self.gram_rows.get(g)) is not None]
             if known:
-                return self.m.gram_scores[known].mean(axis=0)
+                return self.gram_scores[known].mean(axis=0)
         return self.none
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text) if text else None
-        if not counts or not self.m.langs:
+        if not counts or not self.langs:
             return UNKNOWN, 0.0
-        rows, total = self.m.rows, np.zeros(len(self.m.langs))
+        rows, total = self.rows, np.zeros(len(self.langs))
         known, weight = [], []
         for w, n in counts.items():
             i = rows.get(w)
@@ -163,33 +176,29 @@ class Predictor:
                 known.append(i)
                 weight.append(n)
         if known:
-            total += np.asarray(weight, np.float32) @ self.m.scores[known]
+            total += np.asarray(weight, np.float32) @ self.scores[known]
         words = sum(counts.values())
         logits = total * (min(words, EVIDENCE) / words)
         p = np.exp(logits - logits.max())
         best = int(p.argmax())
-        return self.m.langs[best], float(p[best] / p.sum())
+        return self.langs[best], float(p[best] / p.sum())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows and max_words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         predictor = Predictor(held.value)
-        for frame in frames:
-            out = pd.DataFrame([predictor(t) for t in frame["text"]], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+        return lambda texts: [list(c) for c in zip(*map(predictor, texts), strict=True)]
 
-    return rows.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    return beside(rows, ["doc_id"], ["text"], "lang_pred string, score double", start).withColumnRenamed("doc_id", id_col)
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is recognised, with the columns of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
 
     def known(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predictor = Predictor(held.value)

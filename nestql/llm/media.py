@@ -20,13 +20,13 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestql.llm.common import beside
+
 UNIT = 192
 RATE = 8000
 HOP = 96
@@ -54,8 +54,7 @@ def decode_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def padded(text: str) -> tuple[bytes, int]:
-    raw = text.encode("utf-8", "surrogatepass")
+def padded(raw: bytes) -> tuple[bytes, int]:
     size = max(UNIT, -(-len(raw) // UNIT) * UNIT)
     return raw.ljust(size, b" "), len(raw)
 
@@ -107,37 +106,25 @@ def media_columns(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True
 ) -> DataFrame:
     """Id, sizes and checksums of what was read back, fingerprint, and the WAV itself."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def row(text: str | None) -> tuple:
-        payload, n_bytes = padded(text or "")
+    def row(raw: bytes | None) -> tuple:
+        payload, n_bytes = padded(raw or b"")
         media = encode_wav(payload)
         back = decode_wav(media)
-        samples = np.frombuffer(back, np.uint8)
         out = (
             n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]),
-            len(media), hashlib.sha256(media).hexdigest(), fingerprint(samples),
+            len(media), hashlib.sha256(media).hexdigest(), fingerprint(np.frombuffer(back, np.uint8)),
         )
         return (*out, media) if keep_media else out
 
-    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * keep_media
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = 512
-        for frame in frames:
-            for a in range(0, len(frame), step):
-                part = frame.iloc[a : a + step]
-                out = pd.DataFrame([row(t) for t in part["text"]], columns=names)
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
-
-    schema = f"doc_id {kind}, {SCHEMA}" + ", media binary" * keep_media
-    return rows.mapInPandas(run, schema).withColumnRenamed("doc_id", id_col)
+    start = lambda: lambda texts: [list(c) for c in zip(*map(row, texts), strict=True)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    out = beside(rows, ["doc_id"], ["text"], SCHEMA + ", media binary" * keep_media, start, 512)
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns; ``feature`` is the number of pairs and a hash of the array."""
+    """The contract's columns; ``feature`` is the number of pairs and a hash of the array, which follows."""
     out = media_columns(docs, keep_media=False)
     feature = F.concat_ws(":", F.size("fingerprint").cast("string"), F.hex(F.xxhash64("fingerprint")))
-    return out.withColumn("feature", feature).drop("fingerprint")
+    return out.select(*[c for c in out.columns if c != "fingerprint"], feature.alias("feature"), "fingerprint")

@@ -25,16 +25,16 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestql.llm.common import beside
+
 PATH_DIM = 512
 WORD_DIM = 128
 SHAPE_DIM = 8
@@ -434,17 +434,15 @@ def extract_main(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """``keep`` columns, ``text`` and ``blocks`` (the main blocks in order) of each page."""
     held = pages.sparkSession.sparkContext.broadcast(trained())
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
-                blocks = main_texts(part["_html"].tolist(), held.value)
-                out = part[list(keep)].reset_index(drop=True)
-                yield out.assign(text=["\n\n".join(b) for b in blocks], blocks=blocks)
+    def start():
+        def make(html: list[str | None]) -> list[list]:
+            blocks = main_texts(html, held.value)
+            return [["\n\n".join(b) for b in blocks], blocks]
+
+        return make
 
-    return rows.mapInPandas(run, f"{kinds}, text string, blocks array<string>")
+    return beside(rows, list(keep), ["_html"], "text string, blocks array<string>", start, 256)
 
 
 def pages_digest(pages: DataFrame) -> DataFrame:

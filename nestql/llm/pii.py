@@ -23,10 +23,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestql.llm.common import beside
+
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 CONTEXT = 48
 MIN_SCORE = 0.5
@@ -139,38 +140,30 @@ SPANS = "array<struct<kind:string,start:long,end:long,score:double,base:boolean>
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``spans``, one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("kind", "start", "end", "score", "base")
-        for frame in frames:
-            spans = [[dict(zip(names, s, strict=True)) for s in spans_of(t or "")] for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": spans})
-
-    return rows.mapInPandas(run, f"doc_id {kind}, spans {SPANS}").withColumnRenamed("doc_id", id_col)
-
-
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the text with every span replaced by its kind in brackets."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def clean(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, at = [], 0
-        for k, a, b, _, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
-            if a >= at:
-                out += [text[at:a], f"[{k}]"]
-            at = max(at, b)
-        return "".join([*out, text[at:]])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [clean(t) for t in frame["text"]]})
-
-    out = rows.mapInPandas(run, f"doc_id {kind}, text string")
-    return out.withColumnsRenamed({"doc_id": id_col, "text": text_col})
+    names = ("kind", "start", "end", "score", "base")
+    start = lambda: lambda texts: [[[dict(zip(names, s, strict=True)) for s in spans_of(t or "")] for t in texts]]
+    return beside(rows, ["doc_id"], ["text"], f"spans {SPANS}", start).withColumnRenamed("doc_id", id_col)
+
+
+def redacted(text: str | None, min_score: float = 0.0) -> str | None:
+    """The text with every span of at least that score replaced by its kind in brackets."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for k, a, b, score, _ in sorted(spans_of(text), key=lambda s: (s[1], -s[2])):
+        if score < min_score:
+            continue
+        if a >= at:
+            out += [text[at:a], f"[{k}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """``id_col`` and the text with spans replaced; by default all, as base spans always count."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    start = lambda: lambda texts: [[redacted(t, min_score) for t in texts]]
+    return beside(rows, ["doc_id"], ["_text"], "text string", start).withColumnsRenamed({"doc_id": id_col, "text": text_col})
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nestql.llm.common import checkpointed, parallelism
+from nestql.llm.common import beside, checkpointed, parallelism, shared_folder
 
 END_ID = 0
 BLOCK_IDS = 1 << 19
@@ -165,7 +166,8 @@ class Encoder:
         get, out, late = self.words.get, [], []
         for i, t in enumerate(texts):
             if not self.by_word or OTHER.search(t) or any(s in t for s in self.special):
-                out.append(b"".join(self._encode(pieces(t))))
+                # Only under that pre-tokenizer are there cuts that are known to change nothing.
+                out.append(b"".join(self._encode(pieces(t) if self.by_word else [t])))
                 continue
             cut = self._pieces_of(t)
             ids = list(map(get, cut))
@@ -214,16 +216,15 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tup
         source = f.read()
     wide = Tokenizer.from_str(source).get_vocab_size() > 1 << 16
     held = docs.sparkSession.sparkContext.broadcast(source)  # a vocabulary file, of fixed size
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         dtype = "<u4" if wide else "<u2"
         encoder, squeeze = _encoder(held.value, dtype), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype).tobytes()
-        for frame in frames:
-            texts = ["" if t is None else t for t in frame["text"]]
+
+        def make(texts: list[str | None]) -> list[list]:
+            texts = ["" if t is None else t for t in texts]
             sizes, blobs, a = [], [], 0
             while a < len(texts):
                 b, chars = a, 0
@@ -235,9 +236,12 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tup
                     sizes.append(len(ids))
                     blobs.append(pack(ids, wide, squeeze))
                 a = b
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "n": sizes, "ids": blobs})
+            return [sizes, blobs]
+
+        return make
 
-    return rows.mapInPandas(run, f"doc_id {kind}, key long, n long, ids binary"), wide
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text"))
+    return beside(rows, ["doc_id", "key"], ["text"], "n long, ids binary", start), wide
 
 
 def ids_by_frequency(tokens: DataFrame, wide: bool) -> np.ndarray:
@@ -269,20 +273,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     held = spark.sparkContext.broadcast(rank_of)  # no longer than the vocabulary
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         expand, file = zstandard.ZstdDecompressor(), TaskContext.get().partitionId()
         doc_ids, counts, ranks, size, block = [], [], [], 0, 0
 
-        def block_row() -> pd.DataFrame:
+        def block_row() -> pa.RecordBatch:
             control, data = encode_block(np.concatenate(ranks))
-            return pd.DataFrame([{"file": file, "block": block, "n": size, "doc_ids": doc_ids, "counts": counts, "control": control, "data": data}])
-
-        for frame in frames:
-            for doc_id, blob in zip(frame["doc_id"].tolist(), frame["ids"], strict=True):
+            ids = pa.concat_arrays(doc_ids)
+            columns = [
+                pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts], pa.list_(pa.int64())),
+                pa.array([control], pa.binary()), pa.array([data], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "n", "doc_ids", "counts", "control", "data"])
+
+        for batch in batches:
+            for i, blob in enumerate(batch.column(1).to_pylist()):
                 own = held.value[unpack(blob, wide, expand)]
-                doc_ids.append(None if doc_id is None or doc_id != doc_id else doc_id)
+                doc_ids.append(batch.column(0).slice(i, 1))  # ids stay in Arrow
                 counts.append(len(own))
                 ranks.append(own)
                 size += len(own)
@@ -293,7 +303,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield block_row()
 
     ordered = tokens.repartitionByRange(parallelism(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key")
-    shards = ordered.select("doc_id", "ids").mapInPandas(
+    shards = ordered.select("doc_id", "ids").mapInArrow(
         blocks, f"file int, block int, n long, doc_ids array<{kind}>, counts array<long>, control binary, data binary"
     )
     # The blocks are coded already; compressing them again would cost time for little.
@@ -309,19 +319,21 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.parquet(f"{path}/shards")
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                counts = np.asarray(row.counts, np.int64)
-                ids = held.value[decode_block(row.control, row.data, int(counts.sum()))]
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, block, doc_ids, own, control, data = (c[i] for c in batch.columns)
+                counts = np.asarray(own.as_py(), np.int64)
+                ids = held.value[decode_block(control.as_py(), data.as_py(), int(counts.sum()))]
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends, counts, strict=True)]
-                yield pd.DataFrame({
-                    "file": row.file, "block": row.block, "doc_id": list(row.doc_ids), "place": np.arange(len(counts)),
-                    "ahead": ends - counts, "n_tokens": counts, "ids_crc32": crc,
-                })
+                columns = [
+                    pa.repeat(file, len(counts)), pa.repeat(block, len(counts)), doc_ids.values, pa.array(np.arange(len(counts))),
+                    pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "doc_id", "place", "ahead", "n_tokens", "ids_crc32"])
 
-    rows = shards.mapInPandas(
+    rows = shards.select("file", "block", "doc_ids", "counts", "control", "data").mapInArrow(
         decode, f"file int, block int, doc_id {kind}, place long, ahead long, n_tokens long, ids_crc32 long"
     )
     meta = shards.select("file", "block", "n")
@@ -338,8 +350,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def token_file_folder(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names."""
-    checkpointed(spark.range(0))
-    return f"{spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
 
 
 def tokens_of_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

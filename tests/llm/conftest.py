@@ -31,6 +31,9 @@ def odd_rows():
         (13, "ÄÖ ÜÑ ²³ 中文 \U0001f600 ñandú", "es", "é"), (14, "a" * 5000, "en", "a"), (15, "ab" * 400 + base[:200], "en", "a"), (16, "1234 5678 !!", "en", "b"),
         (17, "\n".join(lines), "en", "a"), (18, "\n".join(["intro " + prose(r, words, 5), *lines[1:4], "end"]), "en", "a"), (19, "\n".join(lines[:2]), "de", "b"),
         (20, base.upper(), "en", ""), (21, "x\r\n\ty  z..,'s don't", "en", ""),
+        # Ids that are no doubles, beside nulls.
+        (2**53 + 1, prose(r, words, 60) + " " + shared, "en", "a"), (2**53 + 3, base + " " + prose(r, words, 3), "de", None), (2**63 - 1, shared + " " + prose(r, words, 8), None, "b"),
+        (-(2**53) - 1, "\n".join(lines[1:4]), "en", "c"), (None, shared, "de", "a"), (-(2**63) + 1, "mail a.b@example.org now", "en", "b"),
     ]
     return rows
 

@@ -187,19 +187,65 @@ def test_language(spark, data, odd, odd_rows, empty):
         if letters == {True}:
             assert r["lang_pred"] in known and 0 < r["score"] <= 1
     assert langid.language_of_documents(empty).collect() == []
-    assert langid.keep_known(odd, langid.build([("en", "one", 3), ("de", "two", 3)])).columns == odd.columns
+    assert langid.keep_known(odd, model_of([("en", "one"), ("de", "two")])).columns == odd.columns
+
+
+def model_of(rows):
+    """A model of (lang, text) rows."""
+    rows = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])
+    words = pa.Table.from_batches(langid.word_counts([rows]))
+    return langid.build(words, pa.Table.from_batches(langid.gram_counts(words.to_batches())))
+
+
+def plain_language(rows, text):
+    """(language, score) of a text by the stated rule, from (lang, text) rows."""
+    langs = sorted({x for x, _ in rows})
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {0: defaultdict(lambda: defaultdict(int)), **{n: defaultdict(lambda: defaultdict(int)) for n in (4, 3, 2, 1)}}
+    for lang, t in rows:
+        for w in letters(t):
+            tables[0][w][lang] += 1
+            for n in (4, 3, 2, 1):
+                for g in grams(w, n):
+                    tables[n][g][lang] += 1
+    total = {n: {x: sum(c[x] for c in tables[n].values()) + 0.5 * (len(tables[n]) + 1) for x in langs} for n in tables}
+    score = lambda n, k: np.array([np.log((tables[n][k][x] + 0.5) / total[n][x]) for x in langs])
+    words, logits = letters(text), np.zeros(len(langs))
+    for w in words:
+        if w in tables[0]:
+            logits += score(0, w)
+            continue
+        for n in (4, 3, 2, 1):
+            if known := [g for g in grams(w, n) if g in tables[n]]:
+                logits += np.mean([score(n, g) for g in known], axis=0)
+                break
+    p = np.exp((logits - logits.max()) * min(1, 30 / len(words)))
+    return langs[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_by_the_rule():
+    r = random.Random(6)
+    word = {x: (lambda letters=letters: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))) for x, letters in (("de", "aeinrsthcwzüß"), ("en", "aeionrsthydw"), ("es", "aeosrnldcñó"))}
+    rows = [(x, " ".join(f() for _ in range(40))) for x, f in word.items() for _ in range(6)]
+    model = model_of(rows)
+    predict = langid.Predictor(model)
+    texts = [" ".join(word[r.choice(["de", "en", "es"])]() if r.random() < 0.5 else r.choice(r.choice(rows)[1].split()) for _ in range(r.randint(1, 50))) for _ in range(60)]
+    for t in [*texts, "x" * 300 + "ñ", "Zebra " * 500, "qqq"]:
+        lang, score = plain_language(rows, t)
+        got = predict(t)
+        assert got[0] == lang and abs(got[1] - score) < 1e-3
 
 
 def test_backoff_order():
-    m = langid.build([("a", "zebra", 5), ("b", "quilt", 5)])
-    p = langid.Predictor(m)
+    p = langid.Predictor(model_of([("a", "zebra " * 5), ("b", "quilt " * 5)]))
     assert p("zebra")[0] == "a" and p("zebrx")[0] == "a" and p("quil")[0] == "b"
     assert p("zebra " * 50)[1] > p("zebra")[1]
     assert p("²³ 12")[0] == "und"
 
 
 def test_long_words_are_fitted_whole():
-    m = langid.build([("a", "e" * langid.LONG + "zebra", 5), ("b", "e" * langid.LONG + "quilt", 5)])
+    m = model_of([("a", ("e" * 64 + "zebra ") * 5), ("b", ("e" * 64 + "quilt ") * 5)])
     assert [langid.Predictor(m)(w)[0] for w in ("zebrx", "quilx")] == ["a", "b"]
 
 
@@ -258,13 +304,30 @@ def plain_dedup(rows, length):
 
 
 def test_substrings(odd, odd_rows, empty):
-    rows = [(-1 if i is None else i, t) for i, t, *_ in odd_rows]
+    first = -(2**63)
+    rows = [(first if i is None else i, t) for i, t, *_ in odd_rows]
     want = sorted((i, *w) for (i, _), w in zip(rows, plain_dedup(rows, 50), strict=True))
-    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, suffixes.substrings_digest(odd).collect()))
+    got = sorted((first if r[0] is None else r[0], *r[1:]) for r in map(tuple, suffixes.substrings_digest(odd).collect()))
     assert got == want
     assert suffixes.substrings_digest(empty).collect() == []
 
 
+@pytest.mark.parametrize("fan", [1, 3])
+def test_substrings_dealt_again(spark, odd, odd_rows, monkeypatch, fan):
+    """Packets that are dealt in many turns, and parts that send their contexts bit by bit."""
+    monkeypatch.setattr(suffixes, "FAN_BITS", fan)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 4096)
+    monkeypatch.setattr(suffixes, "FLUSH_RECORDS", 50)
+    monkeypatch.setattr(suffixes, "CONTEXT_ROWS", 20)
+    first = -(2**63)
+    rows = [(first if i is None else i, t) for i, t, *_ in odd_rows]
+    want = sorted((i, *w) for (i, _), w in zip(rows, plain_dedup(rows, 50), strict=True))
+    got = sorted((first if r[0] is None else r[0], *r[1:5]) for r in map(tuple, suffixes.dedup_substrings(odd).collect()))
+    assert got == want
+    with pytest.raises(TypeError, match="whole number"):
+        suffixes.dedup_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_substrings_across_slabs(spark, monkeypatch):
     r = random.Random(3)
     text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
@@ -338,14 +401,13 @@ def plain_leaks(docs, items):
     found = {}
     for i, item in items:
         item, answer = decontaminate.words_of(item), decontaminate.answer_of(item)
-        span = round(decontaminate.SPAN * len(item)) if len(item) >= decontaminate.SHORT else len(item)
+        span = round(decontaminate.SPAN * len(item))
         for d, text in docs:
             text = decontaminate.words_of(text)
             for a in (a for a, w in enumerate(text) if w in item):
                 run = text[a : a + span]
                 x, y = decontaminate.lcs(item, run) / len(item), decontaminate.lcs(answer, run) / len(answer)
-                hit = run == item if len(item) < decontaminate.SHORT else x >= 0.8 or (x >= 0.6 and y >= 0.6)
-                if hit:
+                if x >= 0.8 or (x >= 0.6 and y >= 0.6):
                     found[d, i] = max(found.get((d, i), (0,)), (x, y, -a))
     return found
 
