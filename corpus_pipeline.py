@@ -2,6 +2,15 @@
 
 Each stage takes what its predecessor kept, as ``docs``, and returns a DataFrame:
 all but the last with the columns of ``documents``.
+
+Defined results
+---------------
+* null or empty texts, and texts without letters: have no language and go in the first stage;
+* null ids: rows like any other; rows that share an id are told apart by their text;
+* documents without words never reach the mix; a document may come up to three times after it;
+* empty table: no rows, as soon as a stage keeps none; columns of any other name or
+  number: kept up to the last stage;
+* very long text: as each stage's operator says.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from nestql.llm import decontaminate, jaccard, langid, mixing, tokens
-from nestql.llm.common import checkpointed, table
+from nestql.llm.common import shared_folder, table
 
 #: The last stage and the near-duplicate stage have no SQL form.
 ORACLE_SQL = None
@@ -55,8 +64,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    checkpointed(spark.range(0))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
