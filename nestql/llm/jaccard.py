@@ -14,7 +14,8 @@ number of fragments is set for each class (Arasu et al., VLDB 2006).
    salted parts.
 2. Texts that share a key are compared with one of them, the key's pivot: a row
    for each text and pivot, never a row for each pair of a group. A text with
-   fewer shared keys than any partner shares with it has no partner and is left out.
+   fewer shared keys than any partner shares with it has no partner and is left out,
+   and so are pivots of so few of its keys that a partner shares others as well.
 3. Overlaps with pivots give links, links give components, and pivots with members
    in one component are done.
 4. About other pivots, two members can still be similar. Each is written as its
@@ -58,12 +59,16 @@ CONTRACT = (3, 9, 10)
 DEFAULT = (5, 4, 5)
 #: Keys and numbers of texts are of so many bits; equal ones of different texts cost a look, no more.
 NUMBER_BITS = 48
-FLUSH_KEYS = 1_000_000
+#: Above a text's number there is room for a need up to this; a smaller one leaves out less.
+MOST_NEED = (1 << 14) - 1
+FLUSH_KEYS = 500_000
 #: A key that so many texts of a task's flush have is dealt in SALTS parts.
 HOT = 256
 SALTS = 64
 #: Members that are compared with a pivot in one task.
 PIVOT_ROWS = 4096
+#: Pivots of so many members look for a center.
+GROUP = 8
 #: Fragments in which overlaps are counted, by the highest bits of the hash.
 COUNT_BITS = 4
 BLOOM_BITS = 1 << 26
@@ -99,28 +104,33 @@ def ngram_set(raw: bytes | str | None, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=64)
 def size_classes(num: int, den: int, top: int) -> np.ndarray:
-    """Largest size of each class, up to one class beyond ``top``."""
+    """Largest size of each class, up to one class beyond ``top``; a class spans two steps of the similarity."""
     ends, low = [], 1
     while len(ends) < 2 or ends[-2] < top:
-        ends.append(max(low, low * den // num))
+        ends.append(max(low, low * den * den // (num * num)))
         low = ends[-1] + 1
     return np.array(ends, np.int64)
 
 
 def fragments(group: int, ends: np.ndarray, num: int, den: int) -> tuple[int, int]:
-    """(d, number of fragments) of the group that joins classes group-1 and group."""
+    """(d, number of fragments) of the group that joins classes group-1 and group.
+
+    More of them than d + 1 cost keys, and leave out more texts that share a few by chance.
+    """
     d = int(2 * ends[group] * (den - num) // (den + num))
-    spare = 1.0 + 1.75 * (den - num) / den
-    return d, int(np.ceil((d + 1) * spare))
+    return d, int(np.ceil((d + 1) * (1.0 + 1.25 * (den - num) / den)))
 
 
 def fragment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
-    """Keys of a set's fragments for both of its groups, the lowest bit telling which,
-    and for each of the two how many keys a partner shares at least."""
+    """Keys of a set's fragments for its groups, the lowest bit telling which, and
+    for each of the two how many keys a partner shares at least.
+
+    Partners in the next class are met in its group, if they can be as small.
+    """
     ends = size_classes(num, den, 1 << int(len(grams)).bit_length())
     own = int(np.searchsorted(ends, len(grams)))
-    out, shared = [], [0, 0]
-    for group in (own, own + 1):
+    out, shared = [], [1, 1]
+    for group in (own, own + 1) if len(grams) * den >= (int(ends[own]) + 1) * num else (own,):
         d, count = fragments(group, ends, num, den)
         # The fragment of a hash: its place among `count` equal cuts of the order.
         part = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
@@ -130,7 +140,7 @@ def fragment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, li
             # Too few to be sure of an equal one among them: empty ones count as well.
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), frag)
             body, frag = np.r_[body, np.zeros(len(empty), np.uint64)], np.r_[frag, empty]
-        shared[group & 1] = len(frag) - d
+        shared[group & 1] = min(len(frag) - d, MOST_NEED)
         base = np.array(group * 2654435761 + 1, np.uint64) * STEP
         out.append((mix((body ^ mix(frag + base)) + base) >> np.uint64(64 - NUMBER_BITS)) & ~np.uint64(1) | np.uint64(group & 1))
     return np.concatenate(out), shared
@@ -149,103 +159,89 @@ def document_sizes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def text_keys(docs: DataFrame, n: int, num: int, den: int, hot: int = HOT) -> DataFrame:
-    """``key, h, tag`` of every text's fragments, a text of a task once.
+    """``key, who`` of every text's fragments, a text of a task once.
 
-    ``tag`` has the number of keys that a partner shares at least, times 256, and the
-    salted part (from 1), or 0. A hot key has a row of part 0 for each flush as well.
+    ``who`` has the text's number, and above it how many keys a partner shares at least. ``key``
+    has above it the salted part (from 1), or 0. A hot key has a row of part 0 for each flush as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, numbers, tags, size, flushes = set(), [], [], [], 0, 0
+        seen, keys, who, size, flushes = set(), [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            times = [len(k) for k in keys]
-            key, h, need = np.concatenate(keys), np.repeat(np.array(numbers, np.int64), times), np.repeat(np.array(tags, np.int64), times, axis=0)
-            tag = np.where(key & np.uint64(1), need[:, 1], need[:, 0]) << 8
-            order = np.lexsort((h, key))
-            key, h, tag = key[order].view(np.int64), h[order], tag[order]
+            key, own = np.concatenate(keys).view(np.int64), np.repeat(np.array(who, np.int64), [len(k) for k in keys], axis=0)
+            own = np.where(key & 1, own[:, 1], own[:, 0])
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             counts = np.diff(np.r_[starts, len(key)])
             many = counts >= hot
             if many.any():
-                lead, rows = starts[many], len(key)
+                lead = key[starts[many]]
                 salt = np.zeros(len(counts), np.int64)
-                salt[many] = 1 + (mix((key[lead] + flushes * 7919).view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
-                key, h, tag = np.r_[key, key[lead]], np.r_[h, h[lead]], np.r_[tag, tag[lead]]
-                tag[:rows] += np.repeat(salt, counts)
-            return batch_of(key=key, h=h, tag=tag)
+                salt[many] = 1 + (mix((lead + flushes * 7919).view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+                least = np.minimum.reduceat(own, starts)[many]
+                key, own = np.r_[key | np.repeat(salt, counts) << NUMBER_BITS, lead], np.r_[own, least]
+            return batch_of(key=key, who=own)
 
         for batch in batches:
-            for h, t, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h, t) in seen:
-                    continue
-                seen.add((h, t))
-                if len(g := ngram_set(raw, n)):
-                    k, need = fragment_keys(g, num, den)
-                    keys.append(k), numbers.append(h), tags.append(need)
-                    size += len(k)
-                if size >= FLUSH_KEYS:
-                    yield flush()
-                    seen, keys, numbers, tags, size, flushes = set(), [], [], [], 0, flushes + 1
+            for lo in range(0, batch.num_rows, 1024):
+                for h, t, raw in zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns), strict=True):
+                    if (h, t) in seen:
+                        continue
+                    seen.add((h, t))
+                    if len(g := ngram_set(raw, n)):
+                        k, need = fragment_keys(g, num, den)
+                        keys.append(k), who.append([h | x << NUMBER_BITS for x in need])
+                        size += len(k)
+                    if size >= FLUSH_KEYS:
+                        yield flush()
+                        seen, keys, who, size, flushes = set(), [], [], 0, flushes + 1
         if keys:
             yield flush()
 
-    return numbered(docs).select("h", "t", F.col("text").cast("binary")).mapInArrow(run, "key long, h long, tag long")
+    return numbered(docs).select("h", "t", F.col("text").cast("binary")).mapInArrow(run, "key long, who long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From keys in order: ``h, pivot, key, need`` of texts that share a key with another.
+    """From rows of ``text_keys`` in order: ``who, pivot, key`` of texts that share a key with another.
 
-    A key's pivot is its smallest number of part 0. Rows of salted parts have no pivot yet (-1); a
-    row without a text (h -1) tells the pivot of a key. Batches pass by; no group is held.
+    A key's pivot is its first of part 0. Rows of salted parts have no pivot yet (-1).
+    Batches pass by; no group is held.
     """
-    last_key = last_salt = last_h = pivot = -1
-    need = 0
+    last_key = last_who = pivot = -1
     waiting = False  # the pivot's row, until another text comes
     for batch in batches:
-        key, h, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if not len(key):
             continue
-        salt = tag & 255
-        new = np.r_[(key[0] != last_key) | (salt[0] != last_salt), (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-        fresh = new | np.r_[h[0] != last_h, h[1:] != h[:-1]]
-        key, h, tag, salt, new = key[fresh], h[fresh], tag[fresh] >> 8, salt[fresh], new[fresh]
+        new = np.r_[key[0] != last_key, key[1:] != key[:-1]]
+        fresh = new | np.r_[who[0] != last_who, who[1:] != who[:-1]]
+        key, who, new = key[fresh], who[fresh], new[fresh]
         if not len(key):
             continue
-        starts = np.flatnonzero(new)
-        if not new[0]:
-            starts = np.r_[0, starts]
+        goes_on = not new[0]
+        starts = np.flatnonzero(np.r_[True, new[1:]])
         sizes = np.diff(np.r_[starts, len(key)])
-        lead = h[starts].copy()
-        if not new[0]:
-            lead[0] = pivot
+        lead, single, salted = who[starts].copy(), sizes == 1, key >> NUMBER_BITS > 0
+        if goes_on:
+            lead[0], single[0] = pivot, False
         own = np.repeat(lead, sizes)
-        single = sizes == 1
-        if not new[0]:
-            single[0] = False
-        last_single = bool(single[-1]) and salt[-1] == 0
-        salted = salt > 0
         out = ~np.repeat(single, sizes) | salted
-        parts = [(h[out], np.where(salted, -1, own)[out], key[out], tag[out])]
-        if waiting and not new[0]:
-            parts.append(([pivot], [pivot], [key[0]], [need]))
-        if starts[0] == 0 and not new[0]:
-            waiting = False
-        yield batch_of(**dict(zip(("h", "pivot", "key", "need"), (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in range(4)), strict=True)))
-        last_key, last_salt, last_h, pivot = int(key[-1]), int(salt[-1]), int(h[-1]), int(own[-1])
-        if len(starts) > 1 or new[0]:
-            waiting = last_single
-        if waiting:
-            need = int(tag[-1])
+        found = [who[out], np.where(salted, -1, own)[out], key[out]]
+        if goes_on and waiting:
+            found = [np.r_[x, y] for x, y in zip(found, (pivot, pivot, key[0]), strict=True)]
+        yield batch_of(who=found[0], pivot=found[1], key=found[2])
+        waiting = bool(single[-1]) and not salted[-1]
+        last_key, last_who, pivot = int(key[-1]), int(who[-1]), int(own[-1])
 
 
 def _resolved(met: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of salted parts get their key's pivot, the smallest number of its part 0."""
-    hot = met.where("pivot = -1")
+    """Rows of salted parts get their key's pivot, the first of its part 0."""
+    hot = met.where("pivot = -1").withColumn("key", F.col("key").bitwiseAND(F.lit(int(LOW))))
     if hot.isEmpty():
         return met
-    named = hot.select("key").distinct()
-    pivots = keys.where("tag % 256 = 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("h").alias("pivot"))
+    pivots = keys.join(hot.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("who").alias("pivot"))
     return met.where("pivot != -1").unionByName(hot.drop("pivot").join(pivots, "key"))
 
 
@@ -253,11 +249,17 @@ def star_pairs(docs: DataFrame, n: int, num: int, den: int, hot: int = HOT) -> D
     """``p, x``: texts by number, with the pivots of the keys that they share with others."""
     parts = parallelism(docs.sparkSession)
     keys = text_keys(docs, n, num, den, hot)
-    dealt = keys.repartition(parts, "key", F.expr("tag % 256")).sortWithinPartitions("key", F.expr("tag % 256"), "h")
-    met = _resolved(saved(dealt.mapInArrow(_meet, "h long, pivot long, key long, need long")), keys)
-    half = Window.partitionBy("h", F.expr("key % 2"))
-    enough = met.withColumn("load", F.count(F.lit(1)).over(half)).where("load >= need and pivot != h")
-    return enough.select(F.col("pivot").alias("p"), F.col("h").alias("x")).distinct()
+    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "who")
+    met = _resolved(saved(dealt.mapInArrow(_meet, "who long, pivot long, key long")), keys)
+    number = lambda c: F.col(c).bitwiseAND(F.lit(int(LOW)))
+    met = met.select(number("who").alias("x"), number("pivot").alias("p"), F.expr("key % 2").alias("half"), F.shiftright("who", NUMBER_BITS).alias("need"))
+    weights = met.groupBy("x", "half", "p").agg(F.count(F.lit(1)).alias("w"), F.max("need").alias("need"))
+    own = Window.partitionBy("x", "half")
+    rising = own.orderBy(F.col("p") == F.col("x"), "w", "p").rowsBetween(Window.unboundedPreceding, 0)
+    # Of the keys that two similar texts share, each may lose less than half, and one is left: those with the
+    # pivots that it shares the fewest keys with, which are mostly chance.
+    kept = weights.withColumns({"load": F.sum("w").over(own), "lost": F.sum("w").over(rising)})
+    return kept.where("load >= need and 2 * lost > need - 1 and p != x").select("p", "x").distinct()
 
 
 def _places(ids: np.ndarray) -> list[np.ndarray]:
@@ -323,19 +325,19 @@ def text_pool(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return dealt_checkpoint(once.withColumn("node", F.monotonically_increasing_id()))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
-    """The overlap of two sets, counted in each fragment of the order and summed, and what one of them has alone."""
-    both = np.concatenate([a, b])
-    both.sort()
-    twice = both[1:] == both[:-1]
-    shared = both[:-1][twice]
-    counts = np.bincount((shared >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-    alone = ~(np.r_[twice, False] | np.r_[False, twice])[: len(both)]
-    return int(counts.sum()), both[alone]
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The overlap of two sets, counted in each fragment of the order and summed, and what b and what a has alone."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = a[at] == b
+    counts = np.bincount((b[both] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+    only_a = np.ones(len(a), bool)
+    only_a[at[both]] = False
+    return int(counts.sum()), b[~both], a[only_a]
 
 
 def compared(pairs: DataFrame, pool: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``np, nx, c, a, linked, diff`` of pairs ``p, x``: nodes, sizes, whether similar, and the n-grams of one alone.
+    """``np, nx, c, a, linked, more, less`` of pairs ``p, x``: nodes, sizes, whether similar, and the
+    n-grams that the member (x) and that the pivot (p) has alone.
 
     A pivot's rows are dealt PIVOT_ROWS to a task, about.
     """
@@ -354,25 +356,25 @@ def compared(pairs: DataFrame, pool: DataFrame, n: int, num: int, den: int) -> D
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 np_, nx = part.column(0).to_pylist(), part.column(1).to_pylist()
-                c, a, linked, diffs = [], [], [], []
+                c, a, linked, more, less = [], [], [], [], []
                 for i, p in enumerate(np_):
                     if p != last:
                         last, grams = p, ngram_set(expand.decompress(part.column(2)[i].as_py()), n)
                     own = ngram_set(expand.decompress(part.column(3)[i].as_py()), n)
-                    o, diff = overlap(grams, own)
-                    c.append(len(grams)), a.append(len(own)), diffs.append(diff.view(np.int64))
+                    o, m, k = overlap(grams, own)
+                    c.append(len(grams)), a.append(len(own)), more.append(m.view(np.int64)), less.append(k.view(np.int64))
                     linked.append(o * den >= (len(grams) + len(own) - o) * num)
-                values = pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, diffs)]), pa.int32()), values)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (more, less)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(c, pa.int64()), pa.array(a, pa.int64()), pa.array(linked, pa.bool_()), lists],
-                    names=["np", "nx", "c", "a", "linked", "diff"],
+                    [part.column(0), part.column(1), pa.array(c, pa.int64()), pa.array(a, pa.int64()), pa.array(linked, pa.bool_()), *lists],
+                    names=["np", "nx", "c", "a", "linked", "more", "less"],
                 )
 
-    return joined.mapInArrow(run, "np long, nx long, c long, a long, linked boolean, diff array<long>")
+    return joined.mapInArrow(run, "np long, nx long, c long, a long, linked boolean, more array<long>, less array<long>")
 
 
-def _difference(a: str, b: str) -> F.Column:
+def _either(a: str | F.Column, b: str | F.Column) -> F.Column:
+    """What one of two arrays has and the other has not."""
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
@@ -381,53 +383,61 @@ def links_about_centers(rows: DataFrame, labels: DataFrame, num: int, den: int)
 
     ``rows`` are of ``compared``. See step 4 of the module's text. With sizes a, b, c of two
     members and the center, and u, v of their differences from it, similar members hold
-    (u + v - most) / 2 common elements in these, most = (a + b) (den - num) / (den + num).
-    A member is near, that is linked with the center, if u <= (a + c) (den - num) / (den + num).
-    Of two near members nothing need be found, so one of the two has a greater difference; this
-    bounds from below how many common elements any partner of a member has (``least``).
+    (u + v - most) / 2 common elements in these, most = (a + b) (den - num) / (den + num), and
+    u and v are no farther apart than that. A member is near, that is linked with the center, if
+    u <= (a + c) (den - num) / (den + num). Of two near members nothing need be found, so one of
+    the two has a greater difference. This bounds from below how many common elements any
+    partner of a member has (``least``).
     """
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    known = rows.select("np", "nx", "c", "a", "diff").join(of("nx"), "nx", "left").join(of("np"), "np", "left")
-    known = known.withColumns({"lx": F.coalesce("lnx", "nx"), "lp": F.coalesce("lnp", "np")}).drop("lnx", "lnp")
+    known = rows.select("np", "nx", "c").join(of("nx"), "nx", "left").join(of("np"), "np", "left")
+    known = known.select("np", "nx", "c", F.coalesce("lnx", "nx").alias("lx"), F.coalesce("lnp", "np").alias("lp"))
     groups = known.groupBy("np").agg(
         F.count(F.lit(1)).alias("m"), F.first("c").alias("c"), F.first("lp").alias("lp"), F.max((F.col("lx") != F.col("lp")).cast("int")).alias("open")
-    ).where("m > 1 and open = 1")
-    members = known.select("np", "nx", "a", "lx", "diff").join(groups.select("np", "m"), "np")
-    pivots = groups.select("np", F.col("np").alias("nx"), F.col("c").alias("a"), F.col("lp").alias("lx"), F.array().cast("array<long>").alias("diff"), "m")
-    members = checkpointed(members.unionByName(pivots))
-    if members.isEmpty():
-        return members.select(F.col("nx").alias("a"), F.col("lx").alias("b"))
-    # What most members hold unlike the pivot; the center is nearest to it.
-    counts = members.select("np", "m", F.explode("diff").alias("gram")).groupBy("np", "m", "gram").agg(F.count(F.lit(1)).alias("k"))
+    ).where("m > 1 and open = 1").drop("open")
+    chosen = checkpointed(known.select("np", "nx", "lx").join(groups, "np"))
+    if chosen.isEmpty():
+        return chosen.select(F.col("nx").alias("a"), F.col("lx").alias("b"))
+    members = rows.select("np", "nx", "a", "more", "less").join(chosen, ["np", "nx"])
+    none = F.array().cast("array<long>")
+    # A pivot is a member that differs in nothing.
+    pivots = chosen.select("np", F.col("np").alias("nx"), F.col("c").alias("a"), none.alias("more"), none.alias("less"), F.col("lp").alias("lx"), "m", "c", "lp").distinct()
+    members = members.select(pivots.columns).union(pivots)
+    # Of a small group the pivot is the center. Of others it is the member nearest to what most members hold.
+    small = members.where(f"m < {GROUP}").select(F.col("np").alias("nq"), "nx", "a", "lx", "c", F.col("lp").alias("lq"), "more", "less", none.alias("qmore"), none.alias("qless"))
+    large = checkpointed(members.where(f"m >= {GROUP}").drop("c", "lp"))
+    counts = large.select("np", "m", F.explode(F.concat("more", "less")).alias("gram")).groupBy("np", "m", "gram").agg(F.count(F.lit(1)).alias("k"))
     most = counts.where("2 * k > m + 1").groupBy("np").agg(F.collect_list("gram").alias("most"))
-    turned = members.join(most, "np", "left").withColumn("diff", F.when(F.col("most").isNull(), F.col("diff")).otherwise(_difference("diff", "most"))).drop("most")
-    center = turned.groupBy("np").agg(F.min(F.struct(F.size("diff").alias("u"), "nx", "a", "lx", "diff")).alias("q"))
-    center = center.select("np", F.col("q.nx").alias("nq"), F.col("q.a").alias("c"), F.col("q.lx").alias("lq"), F.col("q.diff").alias("dq"))
-    about = turned.join(center, "np").withColumn("diff", _difference("diff", "dq")).drop("dq", "np", "m").withColumn("u", F.size("diff").cast("long"))
+    far = F.size(_either(F.concat("more", "less"), F.coalesce("most", none)))
+    center = large.join(most, "np", "left").groupBy("np").agg(F.min(F.struct(far.alias("u"), "nx", "a", "lx", "more", "less")).alias("q"))
+    center = center.select("np", F.col("q.nx").alias("nq"), F.col("q.a").alias("c"), F.col("q.lx").alias("lq"), F.col("q.more").alias("qmore"), F.col("q.less").alias("qless"))
     # Groups of several pivots that have one center are one group from here on.
-    about = about.dropDuplicates(["nq", "nx"])
+    turned = large.join(center, "np").select(small.columns).dropDuplicates(["nq", "nx"])
+    about = small.union(turned)
+    differ, of_q = _either(F.concat("more", "less"), F.concat("qmore", "qless")), F.concat("qmore", "qless")
+    held = F.concat(F.array_intersect("qmore", "differ"), F.array_except("less", "of_q"))
+    about = about.withColumns({"differ": differ, "of_q": of_q}).withColumn("held", held)
+    # In order: what the center has not, which few members have, before what it has.
+    ordered = F.concat(F.sort_array(F.array_except("differ", "held")), F.sort_array("held"))
+    about = about.select("nq", "nx", "a", "c", "lx", "lq", ordered.alias("diff")).withColumn("u", F.size("diff").cast("long"))
     share, other = f"({den - num})", f"({den + num})"
     about = about.withColumn("near", F.expr(f"u * {other} <= (a + c) * {share}"))
     one_far = F.expr(f"cast(floor((u * {other} + (c - a) * {share}) / (2.0 * {other}) - 1e-9) as long) + 1")
-    near_far = F.expr(f"greatest(1, cast(ceil(u - (a + least(a, c) * {den} / {num}) * {share} / {other} - 1e-9) as long))")
-    about = about.withColumn("least", F.greatest(F.lit(1), F.when(F.col("near"), one_far).otherwise(F.least(one_far, near_far))))
-    about = checkpointed(about)
+    apart = F.expr(f"cast(ceil(u - a * (1 + {den} / {num}) * {share} / {other} - 1e-9) as long)")
+    far_far = F.greatest(one_far, apart)
+    about = checkpointed(about.withColumn("least", F.greatest(F.lit(1), F.when(F.col("near"), far_far).otherwise(F.least(far_far, apart)))))
     to_center = about.where("near and lx != lq").select(F.col("lx").alias("a"), F.col("lq").alias("b"))
-    # Of a member's elements in order of their number in the group, as many come first as two similar members must share one of.
-    own = ["nq", "nx", "lx", "near", "u", "a", "least"]
-    grams = about.select(*own, F.explode("diff").alias("gram"))
-    counts = about.select("nq", F.explode("diff").alias("gram")).groupBy("nq", "gram").agg(F.count(F.lit(1)).alias("k"))
-    first = grams.join(counts, ["nq", "gram"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("order"))
-    first = first.select(*own[:-1], F.posexplode(F.expr("slice(order, 1, cast(u - least + 1 as int))")).alias("place", "e")).where("e.k > 1")
-    first = first.select(*own[:-1], "place", F.col("e.gram").alias("gram"))
+    # Of a member's elements, as many come first as two similar members must share one of.
+    own = ["nq", "nx", "lx", "near", "u", "a"]
+    first = about.select(*own, F.posexplode(F.expr("slice(diff, 1, cast(u - least + 1 as int))")).alias("place", "gram"))
     side = lambda df, name, *more: df.select("nq", *more, F.col("nx").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in ("nq", "nx", *more)])
     # The first element that two members share leaves room for as many as they must share.
     room = F.expr(f"2 * least(x_u - x_place, y_u - y_place) * {other} >= (x_u + y_u) * {other} - (x_a + y_a) * {share}")
     pairs = side(first, "x", "gram").join(side(first, "y", "gram"), ["nq", "gram"]).where("x < y and x_lx != y_lx and not (x_near and y_near)").where(room)
-    held = about.select("nq", "nx", "lx", "a", "u", "diff")
-    counted = pairs.select("nq", "x", "y").distinct().join(side(held, "x"), ["nq", "x"]).join(side(held, "y"), ["nq", "y"])
-    apart = F.expr("x_u + y_u - 2 * size(array_intersect(x_diff, y_diff))")
-    found = counted.where(apart * F.expr(other) <= F.expr(f"(x_a + y_a) * {share}")).select(F.col("x_lx").alias("a"), F.col("y_lx").alias("b"))
+    sides = about.select("nq", "nx", "lx", "a", "u", "diff")
+    counted = pairs.select("nq", "x", "y").distinct().join(side(sides, "x"), ["nq", "x"]).join(side(sides, "y"), ["nq", "y"])
+    between = F.expr("x_u + y_u - 2 * size(array_intersect(x_diff, y_diff))")
+    found = counted.where(between * F.expr(other) <= F.expr(f"(x_a + y_a) * {share}")).select(F.col("x_lx").alias("a"), F.col("y_lx").alias("b"))
     return checkpointed(to_center.union(found).distinct())
 
 

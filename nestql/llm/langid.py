@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 class Predictor:
     """Looks words up; scores of unseen words are kept up to a bound."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 50_000):
         self.langs, self.scores, self.gram_scores = model.langs, model.scores, model.gram_scores
         self.rows, self.gram_rows = ({k: i for i, k in enumerate(x.split("\n"))} for x in (model.words, model.grams))
         self.cache, self.room = {}, cache

@@ -546,14 +546,14 @@ def test_similar_sets_share_keys(size, edits, ratio, seed):
 
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 2), st.integers(0, 5)), max_size=40), st.integers(1, 5))
 def test_texts_of_a_key_meet_their_pivot(rows, size):
-    rows = sorted((k, s, h) for k, s, h in rows)
-    columns = [np.array([x[i] for x in rows], np.int64) for i in range(3)]
-    batches = (pa.RecordBatch.from_arrays([pa.array(columns[0][a : a + size]), pa.array(columns[2][a : a + size]), pa.array(columns[1][a : a + size] + 256 * 3)], names=["key", "h", "tag"]) for a in range(0, len(rows), size))
-    got = sorted((x["key"], x["h"], x["pivot"], x["need"]) for b in jaccard._meet(batches) for x in b.to_pylist())
+    rows = sorted(((s << jaccard.NUMBER_BITS) + k, h) for k, s, h in rows)
+    batches = (jaccard.batch_of(key=np.array([k for k, _ in rows[a : a + size]]), who=np.array([h for _, h in rows[a : a + size]])) for a in range(0, len(rows), size))
+    got = sorted((x["key"], x["who"], x["pivot"]) for b in jaccard._meet(batches) for x in b.to_pylist())
     groups = defaultdict(set)
-    for k, s, h in rows:
-        groups[k, s].add(h)
-    assert got == sorted((k, h, -1 if s else min(g), 3) for (k, s), g in groups.items() for h in g if s or len(g) > 1)
+    for k, h in rows:
+        groups[k].add(h)
+    salted = lambda k: k >> jaccard.NUMBER_BITS
+    assert got == sorted((k, h, -1 if salted(k) else min(g)) for k, g in groups.items() for h in g if salted(k) or len(g) > 1)
 
 
 # -- 9
