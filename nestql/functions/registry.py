@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
+import inspect
 import io
 import json
+import uuid
 from collections.abc import Callable
+from typing import Any
 from xml.etree import ElementTree
 
 from pyspark.sql import types as T
+from pyspark.sql.functions import udf
 
 from nestql.functions import scalar as scalars
 from nestql.plans.lower import Column, Ex, Lowerer, Rel, Scope, Source, quote, text
@@ -40,6 +44,8 @@ class Functions:
             return self.own_scalars[node.name]
         if node.name not in scalars.TABLE:
             raise QueryError(f"No function found named: {node.name}")
+        if node.named:
+            raise QueryError(f"{node.name} takes no named arguments")
         fn, least, most = scalars.TABLE[node.name]
         if not least <= len(node.args) <= most:
             raise QueryError(f"{node.name} takes {least if least == most else f'{least} or more'} arguments, not {len(node.args)}")
@@ -82,14 +88,34 @@ class Functions:
         for catalog in self.session.catalogs_for(node.call.catalog):
             if name in catalog.table_functions:
                 args = [self.session.constant(a) for a in node.call.args]
-                return lower.renamed(catalog.table_functions[name](*args, **self.session.options(node.options)), node.alias)
+                made = self._bound(name, catalog.table_functions[name], args, {k: self.session.constant(v) for k, v in node.call.named.items()}, self.session.options(node.options))
+                return lower.renamed(made, node.alias)
         if name in self.own_tables:
             return self.own_tables[name](lower, node, scope)
         if name not in TABLES:
             raise QueryError(f"No table function found named: {name}")
+        if node.call.named:
+            raise QueryError(f"{name} takes no named arguments")
         return TABLES[name](lower, node, scope, self.session.options(node.options))
 
 
+    def _bound(self, name: str, function: Callable, args: list, named: dict, options: dict) -> Any:
+        """Calls a catalog's function with arguments by place and by name."""
+        known = [p for p in inspect.signature(function).parameters.values() if p.kind is p.POSITIONAL_OR_KEYWORD]
+        by_name = {p.name.lower(): p.name for p in known}
+        for key in named:
+            if key not in by_name:
+                raise QueryError(f"{name} has no argument named: {key}")
+        given = {p.name: a for p, a in zip(known, args, strict=False)}
+        if len(args) > len(known) or given.keys() & {by_name[k] for k in named}:
+            raise QueryError(f"{name} got an argument twice or too many of them")
+        given |= {by_name[k]: v for k, v in named.items()}
+        missing = [p.name for p in known if p.default is p.empty and p.name not in given]
+        if missing:
+            raise QueryError(f"{name} needs the argument: {missing[0]}")
+        return function(**given, **{k: v for k, v in options.items() if k not in given})
+
+
 def _plain(fn: str, as_type: bool = False):
     def build(lower: Lowerer, node: Node, scope: Scope) -> Ex:
         if node.distinct:
@@ -121,7 +147,7 @@ def _string_agg(lower: Lowerer, node: Node, scope: Scope) -> Ex:
     if node.args[1].kind not in ("literal", "variable"):
         raise QueryError("The delimiter of string_agg must be constant")
     value, sep = (lower.as_string(lower.ex(a, scope)) for a in node.args)
-    return Ex(f"array_join(collect_list({value}), {sep})", scope, T.StringType())
+    return Ex(f"(CASE WHEN count({value}) > 0 THEN array_join(collect_list({value}), {sep}) END)", scope, T.StringType())
 
 
 def _array(lower: Lowerer, node: Node, scope: Scope) -> Ex:
@@ -272,11 +298,20 @@ def _opencsv(lower: Lowerer, node: Node, scope: Scope, options: dict) -> Rel:
         return lower.renamed(lower.spark.createDataFrame(rows, schema), node.alias)
     if names is None:
         raise QueryError("opencsv of a column needs the option columnheaders")
-    sql = lower.as_string(lower.ex(node.call.args[0], scope))
-    schema = ", ".join(f"{quote(n)} STRING" for n in names)
-    lines = f"filter(split({sql}, '\\r?\\n'), x -> trim(x) != '')"
-    row = f"transform({lines}, x -> from_csv(x, {text(schema)}, map('sep', {text(sep)})))"
-    return lower.rows_of(Ex(row, scope), node.alias)
+    wide = len(names)
+
+    def rows_of(value: str | None) -> list | None:
+        return None if value is None else [tuple([*r, *[None] * wide][:wide]) for r in csv.reader(io.StringIO(value), delimiter=sep) if r]
+
+    return _python_rows(lower, node, scope, rows_of, names)
+
+
+def _python_rows(lower: Lowerer, node: Node, scope: Scope, fn: Callable, names: list[str]) -> Rel:
+    """Rows of strings that Python makes of a column's texts, batch by batch."""
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    name = f"rows_{uuid.uuid4().hex}"
+    lower.spark.udf.register(name, udf(fn, kind, useArrow=True))
+    return lower.rows_of(Ex(f"{name}({lower.as_string(lower.ex(node.call.args[0], scope))})", scope, kind), node.alias)
 
 
 def xml_rows(value: str, path: str | None, columns: list[str] | None) -> tuple[list[str], list[dict]]:
@@ -328,11 +363,15 @@ def _openxml(lower: Lowerer, node: Node, scope: Scope, options: dict) -> Rel:
         return lower.renamed(lower.spark.createDataFrame(data, T.StructType(fields)), node.alias)
     if columns is None or not options.get("xmlpath"):
         raise QueryError("openxml of a column needs the options xmlpath and xmlcolumns")
-    sql = lower.as_string(lower.ex(node.call.args[0], scope))
-    path = options["xmlpath"].rstrip("/")
-    per = [f"xpath({sql}, {text(f'{path}/{c}/text()')})" for c in columns]
-    zipped = f"transform(sequence(1, greatest(1, CAST(xpath_int({sql}, {text(f'count({path})')}) AS INT))), i -> struct({', '.join(f'get({p}, i - 1) AS {quote(c)}' for p, c in zip(per, columns, strict=True))}))"
-    return lower.rows_of(Ex(f"(CASE WHEN xpath_int({sql}, {text(f'count({path})')}) > 0 THEN {zipped} END)", scope), node.alias)
+    path = options["xmlpath"]
+
+    def rows_of(value: str | None) -> list | None:
+        if not value:
+            return None
+        rows = xml_rows(value, path, columns)[1]
+        return [tuple(json.dumps(v) if isinstance(v := r.get(c), list) else v for c in columns) for r in rows]
+
+    return _python_rows(lower, node, scope, rows_of, columns)
 
 
 def _open_table(lower: Lowerer, node: Node, scope: Scope, options: dict) -> Rel:

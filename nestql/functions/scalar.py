@@ -6,6 +6,8 @@ a built-in of Spark; nothing runs in Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 from nestql.plans.lower import Ex, iso, offset_text, text
@@ -42,16 +44,16 @@ def simple(name: str, least: int, sql: str, type_: T.DataType | None, most: int
 
     @function(name, least, most)
     def build(lower, node, scope):
-        out = sql
-        for i, s in reversed(list(enumerate(strings_of(lower, node, scope)))):
-            out = out.replace(f"%{i}", s)
-        return Ex(out, scope, type_)
+        # In one pass: the text of an argument may hold %0 itself.
+        strings = strings_of(lower, node, scope)
+        return Ex(re.sub(r"%([0-9])", lambda m: strings[int(m[1])], sql), scope, type_)
 
 
 simple("lower", 1, "lower(%0)", STRING)
 simple("upper", 1, "upper(%0)", STRING)
 simple("reverse", 1, "reverse(%0)", STRING)
-simple("length", 1, "CAST(length(%0) AS BIGINT)", LONG)
+# Of UTF-16 units.
+simple("length", 1, "CAST(octet_length(encode(%0, 'UTF-16BE')) DIV 2 AS BIGINT)", LONG)
 simple("base64_encode", 1, "base64(encode(%0, 'UTF-8'))", STRING)
 simple("base64_decode", 1, "decode(unbase64(%0), 'UTF-8')", STRING)
 simple("replace", 3, "replace(%0, %1, %2)", STRING)
@@ -276,8 +278,6 @@ def regexp_match(lower, node, scope):
     s, p = strings_of(lower, node, scope)
     if node.args[1].kind != "literal":
         raise QueryError("regexp_match: the pattern must be a literal")
-    import re
-
     groups = re.compile(node.args[1].value).groups
     per = [f"regexp_extract_all({s}, {p}, {g})" for g in range(1, groups + 1)]
     if not per:
@@ -326,11 +326,11 @@ def parseduration(lower, node, scope):
     number = lambda p: f"coalesce(try_cast(nullif(regexp_extract({s}, {text(p)}, 1), '') AS DOUBLE), 0)"
     iso_ms = " + ".join(
         f"{number(p)} * {ms}"
-        for p, ms in ((r"^[-+]?P(\d+)D", 86_400_000), (r"T.*?([0-9.]+)H", 3_600_000), (r"T(?:[^M]*?H)?([0-9.]+)M", 60_000), (r"T(?:.*[HM])?([0-9.]+)S$", 1000))
+        for p, ms in ((r"^P(\d+)D", 86_400_000), (r"T.*?([0-9.]+)H", 3_600_000), (r"T(?:[^M]*?H)?([0-9.]+)M", 60_000), (r"T(?:.*[HM])?([0-9.]+)S$", 1000))
     )
     clock = " + ".join(f"{number(p)} * {ms}" for p, ms in ((r"^(\d+):", 3_600_000), (r"^\d+:(\d+)", 60_000), (r"^\d+:\d+:(\d+)", 1000)))
     return Ex(
-        f"(CASE WHEN {s} RLIKE '^[-+]?P' THEN CAST({iso_ms} AS BIGINT) WHEN {s} RLIKE '^[0-9]+:[0-9]+(:[0-9]+)?$' THEN CAST({clock} AS BIGINT)"
+        f"(CASE WHEN {s} RLIKE '^P' THEN CAST({iso_ms} AS BIGINT) WHEN {s} RLIKE '^[0-9]+:[0-9]+(:[0-9]+)?$' THEN CAST({clock} AS BIGINT)"
         f" WHEN {s} IS NOT NULL THEN CAST(raise_error(concat('Not a duration: ', {s})) AS BIGINT) END)",
         scope, LONG,
     )
@@ -492,7 +492,8 @@ def min_max(lower, node, scope):
 def string_agg(lower, node, scope):
     ex, sep = args_of(lower, node, scope)
     if ex.kind == "array":
-        return Ex(f"array_join(transform({ex.sql}, x -> CAST(x AS STRING)), {lower.as_string(sep)})", scope, STRING)
+        joined = f"array_join(transform({ex.sql}, x -> CAST(x AS STRING)), {lower.as_string(sep)})"
+        return Ex(f"(CASE WHEN exists({ex.sql}, x -> x IS NOT NULL) THEN {joined} END)", scope, STRING)
     return Ex(lower.as_string(ex), scope, STRING)
 
 

@@ -80,8 +80,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
     "join_cross": ("select n.n_name, r.r_name from nation n cross join region r", "select n_name, r_name from nation cross join region"),
     "left_is_null_anti": (
-        "select c.c_custkey from customer c left join orders o on o.o_custkey = c.c_custkey where o.o_orderkey is null",
-        "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+        "select c.c_custkey from customer c left join orders o on o.o_custkey = c.c_custkey and o.o_totalprice > 250000 where o.o_orderkey is null",
+        "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)",
     ),
     "join_derived": (
         """select x.n_regionkey, r.r_name, x.cnt from (select n_regionkey, count(1) cnt from nation group by n_regionkey) x
@@ -193,6 +193,30 @@ TEXTS: dict[str, tuple[str, str | None]] = {
         "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) > 50",
     ),
     "opencsv_tvf": ("select * from opencsv('a;b\n1;x\n2;y') t with (columnseparator=';')", "select * from (values ('1', 'x'), ('2', 'y')) t(a, b)"),
+    "opencsv_column": (
+        """select c.c_custkey, t.a, t.b from customer c
+           cross apply opencsv(concat(c.c_custkey, ',"', c.c_name, char(10), 'b"', char(10), '2,', c.c_mktsegment)) t with (columnheaders='a,b')""",
+        """select c_custkey, cast(c_custkey as varchar) as a, c_name || chr(10) || 'b' as b from customer
+           union all select c_custkey, '2', c_mktsegment from customer""",
+    ),
+    "openxml_column": (
+        """select c.c_custkey, t.k, t.v from customer c
+           cross apply openxml(concat('<r><e><k>', c.c_custkey, '</k></e><e><k>2</k><v>', c.c_mktsegment, '</v></e></r>')) t with (xmlpath='/r/e', xmlcolumns='k,v')""",
+        """select c_custkey, cast(c_custkey as varchar) as k, null as v from customer union all select c_custkey, '2', c_mktsegment from customer""",
+    ),
+    "string_marks": (
+        """select c_custkey, replace(concat(c_name, '%0'), '%0', '%1#') rep, replace('a#b', '#', c_mktsegment) con, regexp_like(concat(c_name, '%1'), '%1$') lik,
+                  length(concat(c_name, '😀')) len from customer""",
+        """select c_custkey, c_name || '%1#' as rep, 'a' || c_mktsegment || 'b' as con, true as lik, cast(length(c_name) + 2 as bigint) as len from customer""",
+    ),
+    "string_agg_nulls": (
+        """select n_regionkey, string_agg(case when n_nationkey < 3 then 'x' else null end, ',') few from nation group by n_regionkey""",
+        "select n_regionkey, string_agg(case when n_nationkey < 3 then 'x' end, ',') as few from nation group by n_regionkey",
+    ),
+    "array_string_agg": (
+        "select c_custkey, array(case when c_custkey > 700 then c_name else null end, null).string_agg('|') s from customer",
+        "select c_custkey, case when c_custkey > 700 then c_name end as s from customer",
+    ),
     "openxml_tvf": ("select * from openxml('<r><e><k>1</k><v>x</v></e><e><k>2</k></e></r>') t", "select * from (values ('1', 'x'), ('2', null)) t(k, v)"),
     "lambda_map_filter": (
         "select vec_id, embedding.filter(x -> x > 0).count() pos, embedding.map(x -> x > 0.1).filter(b -> b).count() big, embedding[0] first, embedding[9999] none from embeddings",

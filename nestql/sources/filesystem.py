@@ -69,14 +69,14 @@ class FilesystemCatalog(Catalog):
     def drop(self, name, lenient):
         delete(self.spark, self.path(".".join(name)), lenient)
 
-    def _files(self, path: str) -> DataFrame:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path(path))
+    def _files(self, path: str, recursive: bool = True) -> DataFrame:
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", bool(recursive)).load(self.path(path))
         # The content isn't read, as it isn't selected.
         name = F.element_at(F.split("path", "/"), -1)
         return files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
-    def list(self, path: str, recursive: bool = True, **_: Any) -> DataFrame:
-        return self._files(path)
+    def list(self, path: str, recursive: bool = False, **_: Any) -> DataFrame:
+        return self._files(path, recursive)
 
     def file(self, path: str, **_: Any) -> DataFrame:
         return self._files(path)

@@ -262,3 +262,23 @@ def test_stream(spark, data):
     from nestql.queries import queries
 
     assert queries()["stream_events_batch_parity"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").where("value > 10").count()
+
+
+def test_arguments_by_name(spark, tmp_path):
+    from nestql.sources.filesystem import FilesystemCatalog
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.txt", "in/b.txt"):
+        (tmp_path / name).write_text("x")
+    session = Session(spark, {"fs": FilesystemCatalog(spark, str(tmp_path))})
+    names = lambda q: sorted(r["name"] for r in session.sql(q).collect())
+    assert names("select x.name from fs#list('.') x") == ["a.txt"]
+    assert names("select x.name from fs#list(path: '.', recursive: true) x") == ["a.txt", "b.txt"]
+    for bad in ("select * from fs#list(folder: '.') x", "select * from fs#list('.', path: '.') x", "select * from fs#list(recursive: true) x", "select upper(x: 'a') y", "select * from range(from: 3) x"):
+        with pytest.raises(QueryError):
+            session.sql(bad)
+
+
+def test_durations_have_no_sign(session):
+    with pytest.raises(Exception, match="Not a duration"):
+        session.sql("select parseduration('-PT5M') d").collect()
