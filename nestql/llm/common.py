@@ -19,7 +19,20 @@ ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of texts that go to Python at a time, as texts may be long.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of this session, which hold 10,000 whole texts by default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where that is unset, as in tests on one machine, a temporary folder is used.
     """
-    context = spark.sparkContext
+    context = small_batches(spark).sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.split("[")[0] == "local":
@@ -71,6 +84,7 @@ def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], added: str
     rows, a list each, and returns a list for each added column. ``keep`` stays in Arrow, so
     that ids are not turned into floats where one is null.
     """
+    small_batches(df.sparkSession)
     rows = df.select(*keep, *inputs)
     new = StructType.fromDDL(added)
     schema = StructType([*rows.schema.fields[: len(keep)], *new.fields])

@@ -44,6 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from nestql.llm.common import small_batches
+
 WORD_BITS = 14
 RANK = 64
 EXTRA = 8
@@ -357,7 +359,7 @@ def leaks_of(texts: list[list[bytes]], space: Space, items: Items | None) -> Ite
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """``doc_id, item_id, similarity, answer_similarity, cosine, word_start`` of each leak."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     space = latent_space(docs)
     kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]

@@ -391,7 +391,7 @@ def links_about_centers(rows: DataFrame, labels: DataFrame, num: int, den: int)
     """
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
     known = rows.select("np", "nx", "c").join(of("nx"), "nx", "left").join(of("np"), "np", "left")
-    known = known.select("np", "nx", "c", F.coalesce("lnx", "nx").alias("lx"), F.coalesce("lnp", "np").alias("lp"))
+    known = saved(known.select("np", "nx", "c", F.coalesce("lnx", "nx").alias("lx"), F.coalesce("lnp", "np").alias("lp")))
     groups = known.groupBy("np").agg(
         F.count(F.lit(1)).alias("m"), F.first("c").alias("c"), F.first("lp").alias("lp"), F.max((F.col("lx") != F.col("lp")).cast("int")).alias("open")
     ).where("m > 1 and open = 1").drop("open")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestql.llm.common import beside, checkpointed
+from nestql.llm.common import beside, checkpointed, small_batches
 
 FIT_ROWS = 8_000
 LENGTHS = (4, 3, 2, 1)
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is recognised, with the columns of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
+    held = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # bounded by fit_rows
 
     def known(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predictor = Predictor(held.value)
