@@ -118,7 +118,7 @@ def fragments(group: int, ends: np.ndarray, num: int, den: int) -> tuple[int, in
     More of them than d + 1 cost keys, and leave out more texts that share a few by chance.
     """
     d = int(2 * ends[group] * (den - num) // (den + num))
-    return d, int(np.ceil((d + 1) * (1.0 + 1.25 * (den - num) / den)))
+    return d, int(np.ceil((d + 1) * (1.0 + 2.5 * (den - num) / den)))
 
 
 def fragment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
