@@ -409,16 +409,23 @@ def links_about_centers(rows: DataFrame, labels: DataFrame, num: int, den: int)
     counts = large.select("np", "m", F.explode(F.concat("more", "less")).alias("gram")).groupBy("np", "m", "gram").agg(F.count(F.lit(1)).alias("k"))
     most = counts.where("2 * k > m + 1").groupBy("np").agg(F.collect_list("gram").alias("most"))
     far = F.size(_either(F.concat("more", "less"), F.coalesce("most", none)))
-    center = large.join(most, "np", "left").groupBy("np").agg(F.min(F.struct(far.alias("u"), "nx", "a", "lx", "more", "less")).alias("q"))
-    center = center.select("np", F.col("q.nx").alias("nq"), F.col("q.a").alias("c"), F.col("q.lx").alias("lq"), F.col("q.more").alias("qmore"), F.col("q.less").alias("qless"))
+    center = large.join(most, "np", "left").groupBy("np").agg(F.min(F.struct(far.alias("u"), "nx", "a", "lx", "more", "less", "most")).alias("q"))
+    center = checkpointed(center.select(
+        "np", F.col("q.nx").alias("nq"), F.col("q.a").alias("c"), F.col("q.lx").alias("lq"), F.col("q.more").alias("qmore"), F.col("q.less").alias("qless"),
+        _either(F.concat("q.more", "q.less"), F.coalesce("q.most", none)).alias("common"),
+    ))
+    # What most members hold unlike the center; one array for each center, as all its members need one order.
+    commons = center.groupBy("nq").agg(F.min(F.struct("np", "common")).alias("one")).select("nq", F.col("one.common").alias("common"))
     # Groups of several pivots that have one center are one group from here on.
     turned = large.join(center, "np").select(small.columns).dropDuplicates(["nq", "nx"])
     about = small.union(turned)
     differ, of_q = _either(F.concat("more", "less"), F.concat("qmore", "qless")), F.concat("qmore", "qless")
     held = F.concat(F.array_intersect("qmore", "differ"), F.array_except("less", "of_q"))
     about = about.withColumns({"differ": differ, "of_q": of_q}).withColumn("held", held)
-    # In order: what the center has not, which few members have, before what it has.
-    ordered = F.concat(F.sort_array(F.array_except("differ", "held")), F.sort_array("held"))
+    # In order: what the center has not, which few members have, before what it has; what most have last.
+    about = about.join(commons, "nq", "left").withColumn("common", F.coalesce("common", none))
+    rare = lambda a: F.sort_array(F.array_except(a, "common"))
+    ordered = F.concat(rare(F.array_except("differ", "held")), rare(F.col("held")), F.sort_array(F.array_intersect("differ", "common")))
     about = about.select("nq", "nx", "a", "c", "lx", "lq", ordered.alias("diff")).withColumn("u", F.size("diff").cast("long"))
     share, other = f"({den - num})", f"({den + num})"
     about = about.withColumn("near", F.expr(f"u * {other} <= (a + c) * {share}"))
