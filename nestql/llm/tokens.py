@@ -118,6 +118,8 @@ LONE = frozenset({" ", "\n", ".", ","})
 CUTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words whose ids a Python worker keeps; words beyond are encoded whenever they come.
 CACHED_WORDS = 700_000
+#: Unseen words that are encoded in one call.
+TOGETHER = 2000
 _WORKER: dict[int, Encoder] = {}
 
 
@@ -143,15 +145,38 @@ class Encoder:
             spec.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True)
             and not first.get("add_prefix_space") and not spec["model"].get("dropout")
         )
-        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.special = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
+        self.special_starts = {s[0] for s in self.special}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces of a space and letters: the pre-tokenizer cuts a row of them where they meet."""
+        out = []
+        for a in range(0, len(words), TOGETHER):
+            part = words[a : a + TOGETHER]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            of = np.array(found.word_ids)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * np.dtype(self.dtype).itemsize
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            raw, at = np.array(found.ids, self.dtype).tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
+
+    def _has_special(self, text: str) -> bool:
+        return any(c in text for c in self.special_starts) and any(s in text for s in self.special)
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of unseen words, kept while there is room."""
-        part = list(missing)
-        found = dict(zip(part, self._encode(part), strict=True))
+        plain = [w for w in missing if w[0] == " " and w[1:].isalpha()]
+        found = dict(zip(plain, self._encode_words(plain), strict=True))
+        rest = [w for w in missing if w not in found]
+        found.update(zip(rest, self._encode(rest), strict=True))
         if len(self.words) < self.room:
             self.words.update(found)
         return found
@@ -165,7 +190,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         get, out, late = self.words.get, [], []
         for i, t in enumerate(texts):
-            if not self.by_word or OTHER.search(t) or any(s in t for s in self.special):
+            if not self.by_word or OTHER.search(t) or self._has_special(t):
                 # Only under that pre-tokenizer are there cuts that are known to change nothing.
                 out.append(b"".join(self._encode(pieces(t) if self.by_word else [t])))
                 continue
@@ -250,11 +275,11 @@ def ids_by_frequency(tokens: DataFrame, wide: bool) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for frame in frames:
-            for blob in frame["ids"]:
-                n = np.bincount(unpack(blob, wide, expand))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+            # One count for all texts of a batch: a count is as wide as the vocabulary.
+            n = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(unpack(blob, wide, expand) for blob in frame["ids"])]))
+            if len(n) > len(total):
+                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+            total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen, "n": total[seen]})
 
