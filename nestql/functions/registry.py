@@ -27,11 +27,13 @@ class Functions:
         self.own_scalars: dict[str, Callable] = {}
         self.own_aggregates: dict[str, Callable] = {}
         self.own_tables: dict[str, Callable] = {}
+        self.own_operators: dict[str, Callable] = {}
 
     def names(self) -> list[tuple[str, str]]:
         out = [(n, "AGGREGATE" if n in AGGREGATE else "SCALAR") for n in scalars.TABLE]
         out += [(n, "TABLE") for n in TABLES] + [(n, "OPERATOR") for n in OPERATORS]
         out += [(n, "SCALAR") for n in self.own_scalars] + [(n, "TABLE") for n in self.own_tables]
+        out += [(n, "AGGREGATE") for n in self.own_aggregates] + [(n, "OPERATOR") for n in self.own_operators]
         return sorted(set(out))
 
     # -- scalar
@@ -72,13 +74,41 @@ class Functions:
 
     # -- aggregate
 
+    def is_aggregate(self, name: str) -> bool:
+        return name in AGGREGATE or name in self.own_aggregates
+
     def aggregate(self, name: str) -> Callable:
-        return AGGREGATE[name]
+        return self.own_aggregates.get(name) or AGGREGATE[name]
+
+    def register_aggregate(self, name: str, udf, return_type: T.DataType) -> None:
+        """A grouped pandas UDF (Series to a value) under a name of the dialect.
+
+        Spark doesn't mix such UDFs with built-in aggregates, nor with arrays of non-key columns, in one SELECT.
+        """
+        spark_name = f"nestql_{name.lower()}"
+        self.session.spark.udf.register(spark_name, udf)
+
+        def build(lower: Lowerer, node: Node, scope: Scope) -> Ex:
+            if node.distinct or node.named:
+                raise QueryError(f"{node.name} takes neither DISTINCT nor named arguments")
+            return Ex(f"{spark_name}({', '.join(lower.ex(a, scope).sql for a in node.args)})", scope, return_type)
+
+        self.own_aggregates[name.lower()] = build
 
     def operator(self, name: str) -> Callable:
-        if name not in OPERATORS:
+        found = self.own_operators.get(name) or OPERATORS.get(name)
+        if found is None:
             raise QueryError(f"No operator function found named: {name}")
-        return OPERATORS[name]
+        return found
+
+    def register_operator(self, name: str, result: str, result_type: Callable[[T.StructType], T.DataType]) -> None:
+        """A function of FOR. ``result`` is SQL of the result, with ``{}`` where the array of rows goes."""
+
+        def build(columns: list[Column]) -> tuple[str, str, T.DataType]:
+            sql, t = _row(columns)
+            return sql, result, result_type(t)
+
+        self.own_operators[name.lower()] = build
 
     # -- table-valued
 

@@ -273,6 +273,19 @@ def isblank(lower, node, scope):
     return Ex(f"(CASE WHEN {a} IS NULL OR {a} = '' THEN {b} ELSE {a} END)", scope, STRING)
 
 
+def group_widths(tree) -> dict[int, int]:
+    """The least length of what each group of a parsed pattern matches when it takes part."""
+    out: dict[int, int] = {}
+    for op, value in tree:
+        if op is re._constants.SUBPATTERN and value[0]:
+            out[value[0]] = value[-1].getwidth()[0]
+        for inner in value if isinstance(value, tuple) else (value,):
+            for branch in inner if type(inner) is list else (inner,):
+                if isinstance(branch, re._parser.SubPattern):
+                    out |= group_widths(branch)
+    return out
+
+
 @function("regexp_match", 2)
 def regexp_match(lower, node, scope):
     s, p = strings_of(lower, node, scope)
@@ -282,8 +295,12 @@ def regexp_match(lower, node, scope):
     per = [f"regexp_extract_all({s}, {p}, {g})" for g in range(1, groups + 1)]
     if not per:
         return Ex(f"(CASE WHEN {s} IS NOT NULL THEN array() END)", scope, T.ArrayType(STRING))
-    zipped = f"flatten(transform(sequence(0, size({per[0]}) - 1), i -> array({', '.join(f'get({x}, i)' for x in per)})))"
-    return Ex(f"(CASE WHEN {s} IS NULL THEN NULL WHEN size({per[0]}) = 0 THEN array() ELSE {zipped} END)", scope, T.ArrayType(STRING))
+    # A group that can't match the empty text and yet gives it took no part.
+    least = group_widths(re._parser.parse(node.args[1].value))
+    per = [f"nullif(get({x}, i), '')" if least.get(g) else f"get({x}, i)" for g, x in enumerate(per, 1)]
+    counted = f"size(regexp_extract_all({s}, {p}, 0))"
+    zipped = f"filter(flatten(transform(sequence(0, {counted} - 1), i -> array({', '.join(per)}))), x -> x IS NOT NULL)"
+    return Ex(f"(CASE WHEN {s} IS NULL THEN NULL WHEN {counted} = 0 THEN array() ELSE {zipped} END)", scope, T.ArrayType(STRING))
 
 
 NAMES = {

@@ -23,7 +23,8 @@ CASTS = {
     "float": "float", "double": "double", "datetime": "timestamp_ntz", "datetimeoffset": "datetimeoffset", "array": "array",
 }
 OFFSET_TYPE = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("zone", T.StringType())])
-AGGREGATES = frozenset("count sum avg min max string_agg object_array array object".split())
+#: Aggregates that can't stand in another.
+NOT_NESTED = frozenset("count sum avg min max string_agg object_array".split())
 
 
 def quote(name: str) -> str:
@@ -297,7 +298,7 @@ class Lowerer:
                 ex = self.ex(key, scope)
             else:
                 ex = self.ex(key, scope)
-                if any(n.kind == "call" and n.name in AGGREGATES for n in walk(key)):
+                if any(n.kind == "call" and self.session.functions.is_aggregate(n.name) for n in walk(key)):
                     raise QueryError("GROUP BY can't hold aggregates")
             column = Column(key.name if key.kind in ("column", "field") else "", self.fresh(), ex.type)
             outputs.append(f"{ex.sql} AS {column.id}")
@@ -347,12 +348,12 @@ class Lowerer:
                 return Ex(column.id, scope, column.type)
         plain = Scope(self, scope.sources, scope.parent)
         plain.names = scope.names
-        if node.kind == "call" and node.name in AGGREGATES:
+        if node.kind == "call" and self.session.functions.is_aggregate(node.name):
             for inner in walk(node):
-                if inner is not node and inner.kind == "call" and inner.name in ("count", "sum", "avg", "min", "max", "string_agg", "object_array"):
+                if inner is not node and inner.kind == "call" and (inner.name in NOT_NESTED or inner.name in self.session.functions.own_aggregates):
                     raise QueryError("Aggregates can't be nested")
             return self.session.functions.aggregate(node.name)(self, node, plain)
-        if node.kind in ("literal", "variable") or any(n.kind == "call" and n.name in AGGREGATES for n in walk(node)):
+        if node.kind in ("literal", "variable") or any(n.kind == "call" and self.session.functions.is_aggregate(n.name) for n in walk(node)):
             return None
         ex = self.ex(node, plain)
         if ex.sql in grouping.ids:

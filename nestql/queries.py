@@ -80,8 +80,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
     "join_cross": ("select n.n_name, r.r_name from nation n cross join region r", "select n_name, r_name from nation cross join region"),
     "left_is_null_anti": (
-        "select c.c_custkey from customer c left join orders o on o.o_custkey = c.c_custkey and o.o_totalprice > 250000 where o.o_orderkey is null",
-        "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)",
+        "select c.c_custkey from customer c left join orders o on o.o_custkey = c.c_custkey and o.o_totalprice > 400000 where o.o_orderkey is null",
+        "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)",
     ),
     "join_derived": (
         """select x.n_regionkey, r.r_name, x.cnt from (select n_regionkey, count(1) cnt from nation group by n_regionkey) x
@@ -105,15 +105,15 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
     "nested_apply": (
         """select r.r_name, y.n_name, y.Value from region r outer apply (
-             select n.n_name, z.Value from nation n cross apply range(0, n.n_regionkey) z where n.n_regionkey = r.r_regionkey and n.n_nationkey < 10) y""",
+             select n.n_name, z.Value from nation n cross apply range(0, n.n_regionkey) z where n.n_regionkey = r.r_regionkey) y""",
         """select r_name, n_name, cast(v as integer) as "Value" from region left join (select n_regionkey, n_name, unnest(range(0, n_regionkey)) as v
-             from nation where n_nationkey < 10) on n_regionkey = r_regionkey""",
+             from nation) on n_regionkey = r_regionkey""",
     ),
     "populate_join": (
         """select r.r_name, n.count() cnt, n.map(x -> x.n_nationkey).sum() keys, n.map(x -> x.n_name).min() first_name
-           from region r inner populate join nation n on n.n_regionkey = r.r_regionkey and n.n_nationkey > 6""",
+           from region r inner populate join nation n on n.n_regionkey = r.r_regionkey""",
         """select r_name, cast(count(*) as integer) as cnt, cast(sum(n_nationkey) as integer) as keys, min(n_name) as first_name
-           from region join nation on n_regionkey = r_regionkey and n_nationkey > 6 group by r_name""",
+           from region join nation on n_regionkey = r_regionkey group by r_name""",
     ),
     "left_populate_join": (
         """select c.c_custkey, o is null no_orders, o.count() cnt, o.map(x -> x.o_orderkey).max() last_order
@@ -148,8 +148,9 @@ TEXTS: dict[str, tuple[str, str | None]] = {
                   cast(sum(l_orderkey) // count(*) as bigint) as k from lineitem group by 1""",
     ),
     "string_agg_sorted": (
-        "select x.n_regionkey, x.names.string_split(',').count() cnt from (select n_regionkey, string_agg(n_name, ',') names from nation group by n_regionkey) x",
-        "select n_regionkey, cast(count(*) as integer) as cnt from nation group by n_regionkey",
+        """select x.n_regionkey, x.names.string_split(',').count() cnt, y.Value name from (select n_regionkey, string_agg(n_name, ',') names from nation group by n_regionkey) x
+           cross apply string_split(x.names, ',') y""",
+        "select n_regionkey, cast(count(*) over (partition by n_regionkey) as integer) as cnt, n_name as name from nation",
     ),
     "object_array": (
         "select n_regionkey, object_array('key', n_nationkey, 'name', n_name) nations, object('r', n_regionkey) o, array(n_nationkey, n_nationkey) a from nation group by n_regionkey",
@@ -184,8 +185,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
     "range_tvf": ("select Value v, Value * 2 w from range(5, 12)", "select cast(v as integer) as v, cast(v * 2 as integer) as w from range(5, 12) t(v)"),
     "string_split_tvf": (
-        """select x.Value word, count(1) cnt from documents d cross apply string_split(d.text, ' \n.,|') x where d.lang = 'en' group by x.Value""",
-        """select word, cast(count(*) as integer) as cnt from (select unnest(regexp_split_to_array(text, '[ \n.,|]')) as word from documents where lang = 'en')
+        """select x.Value word, count(1) cnt from documents d cross apply string_split(d.text, ' \n.,|') x group by x.Value""",
+        """select word, cast(count(*) as integer) as cnt from (select unnest(regexp_split_to_array(text, '[ \n.,|]')) as word from documents)
            where word <> '' group by word""",
     ),
     "openjson_props": (
@@ -247,8 +248,10 @@ TEXTS: dict[str, tuple[str, str | None]] = {
                   epoch_ms(o_orderdate) as ms, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso from orders""",
     ),
     "time_zones": (
-        "select o_orderkey, cast(o_orderdate at time zone 'Europe/Berlin' as string) b, unix_timestamp(o_orderdate at time zone 'America/New_York') ms from orders where o_orderkey < 50",
-        None,
+        "select o_orderkey, cast(o_orderdate at time zone 'Europe/Berlin' as string) b, unix_timestamp(o_orderdate at time zone 'America/New_York') ms from orders",
+        """select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+             || case when epoch(o_orderdate) - epoch(o_orderdate at time zone 'Europe/Berlin') = 7200 then '+02:00' else '+01:00' end as b,
+           cast(epoch(o_orderdate at time zone 'America/New_York') * 1000 as bigint) as ms from orders""",
     ),
     "string_fns": (
         """select c_custkey, substring(c_name, 2, 3) s, lpad(cast(c_custkey as string), 6, '0') l, rpad('ab', 1) r, trim('  x ') t, replace(c_name, '#', '_') rep,
@@ -290,13 +293,40 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "assignment_fold": ("set @t = 0 select @t = @t + n_nationkey from nation select @t total", "select cast(sum(n_nationkey) as integer) as total from nation"),
     "totable_apply": (
         """select x.n_regionkey, t.key, t.name from (select n_regionkey, object_array('key', n_nationkey, 'name', n_name) items from nation group by n_regionkey) x
-           cross apply (totable(x.items)) t where t.key > 10""",
-        "select n_regionkey, n_nationkey as key, n_name as name from nation where n_nationkey > 10",
+           cross apply (totable(x.items)) t""",
+        "select n_regionkey, n_nationkey as key, n_name as name from nation",
     ),
     "dereference_subscript": (
         "select r.r_name, n[99].n_name none, n.n_nationkey.count() keys, n['n_name'].count() names from region r inner populate join nation n on n.n_regionkey = r.r_regionkey",
         "select r_name, cast(null as varchar) as none, cast(count(*) as integer) as keys, cast(count(*) as integer) as names from region join nation on n_regionkey = r_regionkey group by 1",
     ),
+    "regexp_groups": (
+        "select o_orderkey, regexp_match(o_orderpriority, '(URGENT)|([0-9])-').string_agg(',') found, regexp_match(o_orderpriority, '[A-Z]').count() none from orders",
+        """select o_orderkey, nullif(concat_ws(',', nullif(regexp_extract(o_orderpriority, '([0-9])-', 1), ''), nullif(regexp_extract(o_orderpriority, 'URGENT'), '')), '') as found,
+                  cast(0 as integer) as none from orders""",
+    ),
+    "object_aggregates": (
+        """select x.n_regionkey, x.o.r r, i.key, i.name, j.Value twice from (select n_regionkey, object_array('key', n_nationkey, 'name', n_name) items,
+             object('r', n_regionkey) o from nation group by n_regionkey) x cross apply totable(x.items) i cross apply range(0, 2) j""",
+        "select n_regionkey, n_regionkey as r, n_nationkey as key, n_name as name, cast(t as integer) as twice from nation cross join range(0, 2) x(t)",
+    ),
+    "array_aggregate": (
+        "select x.n_regionkey, x.a.sum() s, x.a.count() c from (select n_regionkey, array(n_nationkey, n_nationkey) a from nation group by n_regionkey) x",
+        "select n_regionkey, cast(2 * sum(n_nationkey) as integer) as s, cast(2 * count(*) as integer) as c from nation group by n_regionkey",
+    ),
+    "populate_rows": (
+        "select c.c_custkey, x.o_orderkey, x.o_totalprice from customer c inner populate join orders o on o.o_custkey = c.c_custkey cross apply open_table(o) x",
+        "select c_custkey, o_orderkey, o_totalprice from customer join orders on o_custkey = c_custkey",
+    ),
+    "for_object_rows": (
+        "select x.n_nationkey, x.o.r_name region from (select n.n_nationkey, (select r.r_name from region r where r.r_regionkey = n.n_regionkey for object) o from nation n) x",
+        "select n_nationkey, r_name as region from nation join region on r_regionkey = n_regionkey",
+    ),
+    "char_format_hash": (
+        """select n_nationkey, char(65 + n_nationkey) c, format(n_nationkey, '000') f, hash(n_name) = hash(concat(n_name, '')) same,
+                  randomint(10) < 10 small from nation""",
+        "select n_nationkey, chr(65 + n_nationkey) as c, printf('%03d', n_nationkey) as f, true as same, true as small from nation",
+    ),
     "show_functions": ("show functions", None),
     "describe_plan": ("describe select * from nation where n_nationkey = 1", None),
 }
@@ -333,7 +363,10 @@ def stream_events_batch_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from nestql.streaming import file_stream, run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nestql-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="nestql-stream-")
     import uuid
 
     folder = f"{base}/stream-{uuid.uuid4().hex}"

@@ -385,12 +385,13 @@ class Session:
         for name in list(self.caches):
             if s.name is not None and name.lower() != s.name.lower():
                 continue
+            entries = self.caches[name].entries
+            gone = list(entries) if s.action == "remove" or s.key is None else [k for k in [str(self.constant(s.key))] if k in entries]
+            for key in gone:
+                # A temporary table that a session still holds is computed again where it is read.
+                entries.pop(key).temp.df.unpersist()
             if s.action == "remove":
                 del self.caches[name]
-            elif s.key is None:
-                self.caches[name].entries.clear()
-            else:
-                self.caches[name].entries.pop(str(self.constant(s.key)), None)
 
     # -- system tables
 

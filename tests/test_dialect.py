@@ -238,6 +238,35 @@ def test_udfs(spark, session):
     assert rows(session, "select twice(col1) t from source order by 1") == [(2,), (6,), (10,)]
 
 
+def test_own_aggregate(session):
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(T.IntegerType())
+    def spread(x: pd.Series) -> int:
+        return int(x.max() - x.min())
+
+    session.functions.register_aggregate("spread", spread, T.IntegerType())
+    assert rows(session, "select col1 % 2 k, spread(col1) s from source group by col1 % 2") == [(1, 4)]
+    assert ("spread", "AGGREGATE") in session.functions.names()
+
+
+def test_own_operator(session):
+    from pyspark.sql import types as T
+
+    session.functions.register_operator("row_count", "size({})", lambda row: T.IntegerType())
+    assert rows(session, "select (select s.col1 from source s for row_count) n") == [(3,)]
+    with pytest.raises(QueryError):
+        rows(session, "select (select s.col1 from source s for no_such) n")
+
+
+def test_regexp_groups(session):
+    assert rows(session, "select regexp_match('ab', '(a)|(b)') g") == [(["a", "b"],)]
+    assert rows(session, "select regexp_match('ab', '(a)(x*)') g") == [(["a", ""],)]
+    assert rows(session, "select regexp_match('ab', 'c(d)') g") == [([],)]
+
+
 def test_writers(session):
     out = io.StringIO()
     write_json(session.execute("select 1 a, 1 a, object('k', 'x') o select 2 b where false"), out)
