@@ -62,6 +62,8 @@ NUMBER_BITS = 48
 #: Above a text's number there is room for a need up to this; a smaller one leaves out less.
 MOST_NEED = (1 << 14) - 1
 FLUSH_KEYS = 500_000
+#: N-grams of compared pairs that leave a task at a time.
+FLUSH_GRAMS = 1 << 18
 #: A key that so many texts of a task's flush have is dealt in SALTS parts.
 HOT = 256
 SALTS = 64
@@ -353,22 +355,25 @@ def compared(pairs: DataFrame, pool: DataFrame, n: int, num: int, den: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, last, grams = zstandard.ZstdDecompressor(), None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                np_, nx = part.column(0).to_pylist(), part.column(1).to_pylist()
-                c, a, linked, more, less = [], [], [], [], []
-                for i, p in enumerate(np_):
-                    if p != last:
-                        last, grams = p, ngram_set(expand.decompress(part.column(2)[i].as_py()), n)
-                    own = ngram_set(expand.decompress(part.column(3)[i].as_py()), n)
-                    o, m, k = overlap(grams, own)
-                    c.append(len(grams)), a.append(len(own)), more.append(m.view(np.int64)), less.append(k.view(np.int64))
-                    linked.append(o * den >= (len(grams) + len(own) - o) * num)
+            first, size, c, a, linked, more, less = 0, 0, [], [], [], [], []
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                if p != last:
+                    last, grams = p, ngram_set(expand.decompress(batch.column(2)[i].as_py()), n)
+                own = ngram_set(expand.decompress(batch.column(3)[i].as_py()), n)
+                o, m, k = overlap(grams, own)
+                c.append(len(grams)), a.append(len(own)), more.append(m.view(np.int64)), less.append(k.view(np.int64))
+                linked.append(o * den >= (len(grams) + len(own) - o) * num)
+                size += len(m) + len(k)
+                if size < FLUSH_GRAMS and i + 1 < batch.num_rows:
+                    continue
+                # Rows of long texts are wide: so many n-grams go at a time, whatever the number of rows.
+                part = batch.slice(first, i + 1 - first)
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (more, less)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(c, pa.int64()), pa.array(a, pa.int64()), pa.array(linked, pa.bool_()), *lists],
                     names=["np", "nx", "c", "a", "linked", "more", "less"],
                 )
+                first, size, c, a, linked, more, less = i + 1, 0, [], [], [], [], []
 
     return joined.mapInArrow(run, "np long, nx long, c long, a long, linked boolean, more array<long>, less array<long>")
 
