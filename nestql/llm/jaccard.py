@@ -476,11 +476,12 @@ def jaccard_components(docs: DataFrame, n: int = DEFAULT[0], num: int = DEFAULT[
     """
     docs = docs.select("doc_id", "text")
     rows = saved(document_sizes(docs, n))
-    texts = rows.where("n_shingles > 0").groupBy("h", "t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    linked = linked_texts(docs, n, num, den, hot)
-    labelled = texts.join(linked, ["h", "t"])
+    # Each step is read more than once below. Were they not written, the last plan would hold all of them
+    # several times over, and the driver all of its stages at once.
+    texts = saved(rows.where("n_shingles > 0").groupBy("h", "t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    labelled = saved(texts.join(linked_texts(docs, n, num, den, hot), ["h", "t"]))
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(roots, "label").select("h", "t", "component_id")
+    named = saved(labelled.join(roots, "label").select("h", "t", "component_id"))
     # A text that stands alone, with one row, needs no other; a hot one has one row on the other side, salted.
     alone = texts.where("copies > 1").join(named, ["h", "t"], "left_anti").select("h", "t", F.col("least").alias("component_id"))
     salted = named.union(alone).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))

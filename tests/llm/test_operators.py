@@ -487,6 +487,13 @@ def test_jaccard(odd, odd_rows, empty, setting):
     assert jaccard.jaccard_components(empty, *setting).collect() == []
 
 
+def test_last_plan_is_small(spark):
+    # The driver plans and runs all stages of it at once.
+    rows = [(i, " ".join(f"w{i % 7}x{k}" for k in range(40 + i % 3))) for i in range(40)]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 16
+
+
 def test_keep_one_of_null_and_repeated_ids(spark):
     r = random.Random(15)
     pick = lambda n: " ".join("".join(r.choice("bcdfghaeiou") for _ in range(5)) for _ in range(n))
