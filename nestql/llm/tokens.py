@@ -120,7 +120,6 @@ CUTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 CACHED_WORDS = 700_000
 #: Unseen words that are encoded in one call.
 TOGETHER = 2000
-_WORKER: dict[int, Encoder] = {}
 
 
 class Encoder:
@@ -224,15 +223,6 @@ def loose(piece: str) -> bool:
     return not piece[-1].isalnum() and piece not in LONE
 
 
-def _encoder(source: str, dtype: str) -> Encoder:
-    """The encoder of this Python worker, kept between tasks."""
-    key = hash((source, dtype))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(source, dtype)
-    return _WORKER[key]
-
-
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tuple[DataFrame, bool]:
     """``doc_id, key, n, ids`` of whole texts (ids packed), and whether ids need four bytes."""
     from tokenizers import Tokenizer
@@ -245,7 +235,10 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tup
     def start():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         dtype = "<u4" if wide else "<u2"
-        encoder, squeeze = _encoder(held.value, dtype), zstandard.ZstdCompressor(level=1)
+        # Kept between tasks, as long as the worker has the broadcast: the first task of another stage frees it.
+        if not hasattr(held, "encoder"):
+            held.encoder = Encoder(held.value, dtype)
+        encoder, squeeze = held.encoder, zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], dtype).tobytes()
 
         def make(texts: list[str | None]) -> list[list]:

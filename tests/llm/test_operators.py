@@ -147,6 +147,20 @@ def test_tokens(odd, odd_rows, empty, vocabulary):
     assert tokens.tokens_of_documents(empty, vocabulary).collect() == []
 
 
+def test_workers_let_go_of_encoders(spark, odd, vocabulary):
+    """What a worker keeps for one stage must not lie beside the next stages' memory."""
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())])], names=["n"])
+
+    assert tokens.token_ids(odd, vocabulary)[0].count() == odd.count()
+    assert [r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()] == [0] * 16
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", ".", ",", "..", "?", ")", "'s", "'", "_", "9", "é", "\t", "中", "²", "<|endoftext|>", "\x01", "-"]), max_size=14).map("".join))
 def test_encoder_is_the_library(text):
