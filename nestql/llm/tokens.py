@@ -32,6 +32,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ from nestql.llm.common import beside, checkpointed, parallelism, shared_folder
 END_ID = 0
 BLOCK_IDS = 1 << 19
 PIECE = 1 << 16
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 
 # Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -118,8 +119,12 @@ LONE = frozenset({" ", "\n", ".", ","})
 CUTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words whose ids a Python worker keeps; words beyond are encoded whenever they come.
 CACHED_WORDS = 700_000
-#: Unseen words that are encoded in one call.
-TOGETHER = 2000
+#: Unseen words that are encoded as one text.
+TOGETHER = 50
+#: Bytes before and after which quick pieces are cut.
+CUT_BEFORE, CUT_AFTER = np.zeros((2, 256), bool)
+CUT_BEFORE[list(b" \n,.\0")] = True
+CUT_AFTER[list(b"\n\0")] = True
 
 
 class Encoder:
@@ -137,7 +142,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.dtype, self.room = dtype, room
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"\0": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for w, i in vocabulary.items() if w[:1] == "\u0120"]] = True
         spec = json.loads(source)
         first = spec.get("pre_tokenizer") or {}
         self.by_word = (
@@ -151,17 +159,18 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces of a space and letters: the pre-tokenizer cuts a row of them where they meet."""
-        out = []
-        for a in range(0, len(words), TOGETHER):
-            part = words[a : a + TOGETHER]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            of = np.array(found.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * np.dtype(self.dtype).itemsize
+        """Ids of pieces of a space and letters: the pre-tokenizer cuts a row of them where they meet.
+
+        Only the first id of such a piece holds a space.
+        """
+        out, rows = [], [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        for part, found in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            ends = np.append(np.flatnonzero(self.spaced[ids])[1:], len(ids)) * ids.itemsize
             if len(ends) != len(part):
                 out += self._encode(part)
                 continue
-            raw, at = np.array(found.ids, self.dtype).tobytes(), 0
+            raw, at = ids.tobytes(), 0
             for end in ends.tolist():
                 out.append(raw[at:end])
                 at = end
@@ -170,54 +179,83 @@ class Encoder:
     def _has_special(self, text: str) -> bool:
         return any(c in text for c in self.special_starts) and any(s in text for s in self.special)
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of unseen words, kept while there is room."""
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of unseen pieces; those that what follows cannot join are kept while there is room."""
         plain = [w for w in missing if w[0] == " " and w[1:].isalpha()]
         found = dict(zip(plain, self._encode_words(plain), strict=True))
         rest = [w for w in missing if w not in found]
         found.update(zip(rest, self._encode(rest), strict=True))
         if len(self.words) < self.room:
-            self.words.update(found)
+            self.words.update((w, x) for w, x in found.items() if not loose(w))
         return found
 
-    def _pieces_of(self, text: str) -> list[str]:
-        if any(j in text for j in JOINED):
-            return CUTS.findall(text)
-        quick = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.")
-        return quick.split("\x01")
+    def _ids_of(self, cut: pa.Array, ends: np.ndarray, quick: bool) -> list[bytes | None]:
+        """Ids of texts whose pieces end before ``ends``; None where a quick piece might go on."""
+        # Each different piece is looked up once.
+        cut = cut.dictionary_encode()
+        code, pieces = cut.indices.to_numpy(), cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.words.get, pieces))
+        unseen = [k for k, x in enumerate(ids) if x is None]
+        open_ended = [k for k in unseen if loose(pieces[k])] if quick else []
+        again = set()
+        if open_ended:
+            is_open = np.zeros(len(pieces), bool)
+            is_open[open_ended] = True
+            again = set(np.searchsorted(ends, np.flatnonzero(is_open[code]), "right").tolist())
+            held = set(open_ended)
+            unseen = [k for k in unseen if k not in held]
+            for k in open_ended:
+                ids[k] = b""
+        found = self._learn([pieces[k] for k in unseen])
+        for k in unseen:
+            ids[k] = found[pieces[k]]
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        shift, size = (np.cumsum(size) - size)[code], size[code]
+        after = np.append(0, np.cumsum(size))
+        every = flat[np.repeat(shift - after[:-1], size) + np.arange(after[-1])]
+        stops = after[ends].tolist()
+        return [None if i in again else every[a:b].tobytes() for i, (a, b) in enumerate(zip([0, *stops], stops))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        get, out, late = self.words.get, [], []
+        out: list[bytes | None] = [None] * len(texts)
+        quick, exact = [], []
         for i, t in enumerate(texts):
             if not self.by_word or OTHER.search(t) or self._has_special(t):
                 # Only under that pre-tokenizer are there cuts that are known to change nothing.
-                out.append(b"".join(self._encode(pieces(t) if self.by_word else [t])))
-                continue
-            cut = self._pieces_of(t)
-            ids = list(map(get, cut))
-            if None in ids:
-                unseen = [k for k, x in enumerate(ids) if x is None]
-                # A quick piece that ends in a mark is never kept: the next might belong to it.
-                if any(loose(cut[k]) for k in unseen):
-                    cut = CUTS.findall(t)
-                    ids = list(map(get, cut))
-                    unseen = [k for k, x in enumerate(ids) if x is None]
-                late.append((i, cut, ids, unseen))
-                out.append(b"")
+                out[i] = b"".join(self._encode(pieces(t) if self.by_word else [t]))
             else:
-                out.append(b"".join(ids))
-        if late:
-            missing = {cut[k] for _, cut, _, unseen in late for k in unseen}
-            found = self._learn({w for w in missing if not loose(w)})
-            rest = [w for w in missing if loose(w)]
-            found.update(zip(rest, self._encode(rest), strict=True))
-            for i, cut, ids, unseen in late:
-                for k in unseen:
-                    ids[k] = found[cut[k]]
-                out[i] = b"".join(ids)
+                (exact if any(j in t for j in JOINED) else quick).append(i)
+        if quick:
+            cut, ends = quick_pieces([texts[i] for i in quick])
+            for i, ids in zip(quick, self._ids_of(cut, ends, True), strict=True):
+                out[i] = ids
+                if ids is None:
+                    exact.append(i)
+        if exact:
+            cuts = [CUTS.findall(texts[i]) for i in exact]
+            ends = np.cumsum([len(c) for c in cuts])
+            for i, ids in zip(exact, self._ids_of(pa.array(list(chain.from_iterable(cuts)), pa.string()), ends, False), strict=True):
+                out[i] = ids
         return out
 
 
+def quick_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts, cut before spaces and marks and around line feeds, and how many end with each text.
+
+    A zero byte, which ``OTHER`` keeps out of them, stands after each text, as a piece without ids.
+    """
+    raw = "\0".join([*texts, ""]).encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts = CUT_BEFORE[data]
+    starts[1:] |= CUT_AFTER[data[:-1]]
+    starts[0] = True
+    at = np.flatnonzero(starts)
+    offsets = np.append(at, len(raw)).astype(np.int32)
+    cut = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return cut, np.flatnonzero(data[at] == 0) + 1
+
+
 def loose(piece: str) -> bool:
     """Whether a quick piece ends in a mark that what follows could join."""
     return not piece[-1].isalnum() and piece not in LONE

@@ -147,6 +147,18 @@ def test_tokens(odd, odd_rows, empty, vocabulary):
     assert tokens.tokens_of_documents(empty, vocabulary).collect() == []
 
 
+def test_texts_share_their_pieces(vocabulary):
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeilmnorstuwé") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    texts = ["", "\n", ".", "a.", "what?", "what?!", " x", "  x", "who, me?, yes", *(" ".join(r.choices(words, k=40)) + r.choice(["", ".", "\n", "?", " "]) for _ in range(40))]
+    texts = [x + y for x in texts for y in ("", r.choice(texts), "\n" + r.choice(texts), "\0" + r.choice(texts))]
+    encoder, plain = tokens.Encoder(open(vocabulary, encoding="utf-8").read(), "<u2"), Tokenizer.from_file(vocabulary)
+    for part in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_workers_let_go_of_encoders(spark, odd, vocabulary):
     """What a worker keeps for one stage must not lie beside the next stages' memory."""
 
