@@ -71,6 +71,31 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(MARKS).lower().split() if raw else []
 
 
+#: Bytes of words in lower case (A-Z); marks and white space as spaces.
+FOLDED = np.frombuffer(bytes(range(256)).translate(MARKS).lower().translate(bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)), np.uint8)
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of all texts as ``words_of`` cuts them, by their place in the list of different ones, and how many each text has."""
+    texts = texts.fill_null(b"")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    base, end = int(at[0]), int(at[-1])
+    if base == end:
+        return np.empty(0, np.int64), np.zeros(len(texts), np.int64), []
+    data = FOLDED[np.frombuffer(texts.buffers()[2], np.uint8)[base:end]]
+    solid = data != 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    # A text's first byte begins a word, whatever stands before it.
+    first = at[:-1][at[:-1] < at[1:]] - base
+    begins[first] = solid[first]
+    before = np.append(0, np.cumsum(solid, dtype=np.int32))
+    starts = np.flatnonzero(begins)
+    offsets = np.append(before[starts], before[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(starts, at - base)), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def buckets_of(words: list[bytes]) -> np.ndarray:
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     return (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
@@ -80,8 +105,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Hashed words of many passages at a time, a row each; the last of a text is padded by 2 ** WORD_BITS."""
     parts, size = [], 0
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            ids = buckets_of(words_of(t))
+        code, lengths, words = coded_words(batch.column(0))
+        every = buckets_of(words)[code]
+        for ids in np.split(every, np.cumsum(lengths)[:-1]):
             if len(ids):
                 rows = np.full((-(-len(ids) // PASSAGE), PASSAGE), 1 << WORD_BITS, np.int64)
                 rows.reshape(-1)[: len(ids)] = ids
@@ -142,11 +168,12 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = np.zeros((words, 2))
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                b = buckets_of(list(set(words_of(t))))
-                if len(b):
-                    total[np.unique(b), 0] += 1
-                    total[0, 1] += 1
+            code, lengths, found = coded_words(batch.column(0))
+            # A text counts once for each of its buckets.
+            own = np.sort(np.repeat(np.arange(len(lengths)) << WORD_BITS, lengths) + buckets_of(found)[code])
+            own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
+            total[:, 0] += np.bincount(own & (words - 1), minlength=words)
+            total[0, 1] += np.count_nonzero(lengths)
         return total if total[0, 1] else None
 
     df = _summed(docs, counts, (words, 2))
@@ -203,12 +230,16 @@ def places_of(a: list[bytes]) -> dict[bytes, int]:
 
 
 def common(where: dict[bytes, int], n: int, b: list[bytes]) -> int:
-    """Length of the longest common subsequence with n words at these places, in bits of one integer."""
+    """Length of the longest common subsequence with n words at these places."""
+    return longest([hit for w in b if (hit := where.get(w))], n)
+
+
+def longest(hits: list[int], n: int) -> int:
+    """The same of words that are all there, given by their places, in bits of one integer."""
     row = full = (1 << n) - 1
-    for w in b:
-        if hit := where.get(w):
-            kept = row & hit
-            row = (row + kept | row - kept) & full
+    for hit in hits:
+        kept = row & hit
+        row = (row + kept | row - kept) & full
     return n - row.bit_count()
 
 
@@ -310,17 +341,21 @@ def best_run(words: list[bytes], items: Items, i: int, first: int, last: int) ->
     where, n, span = items.where[i], len(items.words[i]), int(items.spans[i])
     low = max(0, first - span + 1)
     at = [p for p, w in enumerate(words[low : last + span], low) if w in where]
+    hits = [where[words[p]] for p in at]
     ends = np.searchsorted(at, np.array(at) + span).tolist()
     places, size = items.answers[i]
-    best = None
+    best, had, till = None, 0, 0
     for k, (a, end) in enumerate(zip(at, ends, strict=True)):
-        # As many words at most are common; less than the best so far is no use.
-        if a > last or end - k < items.need[i] or (best and (end - k) / n < best[0]):
+        # As many words at most are common: those of the last checked run, and one for each that came in since.
+        # Less than the best so far is no use.
+        most = min(end - k, had + end - till)
+        if a > last or most < items.need[i] or (best and most / n < best[0]):
             continue
-        run = words[a : a + span]
-        share = common(where, n, run) / n
+        had, till = longest(hits[k:end], n), end
+        share = had / n
         if share < WEAK:
             continue
+        run = words[a : a + span]
         answer = common(places, size, run) / size if size else share
         if (share >= STRONG or answer >= ANSWER) and (best is None or (share, answer, -a) > best):
             best = (share, answer, -a)

@@ -371,6 +371,36 @@ def test_substrings_across_slabs(spark, monkeypatch):
     assert got == [(i, *w) for (i, _), w in zip(rows, plain_dedup(rows, 50), strict=True)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.binary(max_size=12) | st.sampled_from([b"a b", b"Ab, c.", b" x", b"x ", b"", b"(\ty)\n\x0b\x0cA", "É é".encode()]), max_size=6), st.integers(0, 6))
+def test_coded_words(texts, cut):
+    code, lengths, found = decontaminate.coded_words(pa.array(texts, pa.binary()).slice(cut))
+    at = np.append(0, np.cumsum(lengths))
+    assert [[found[c] for c in code[a:b]] for a, b in zip(at, at[1:])] == [decontaminate.words_of(t) for t in texts[cut:]]
+
+
+def test_best_run_checks_few_runs(monkeypatch):
+    """The best of all runs, though runs that hold too few words for it are passed over."""
+    r = random.Random(5)
+    pool = [b"w%d" % i for i in range(60)]
+    space = decontaminate.Space(np.ones(1 << decontaminate.WORD_BITS), np.ones((1 << decontaminate.WORD_BITS, 2), np.float32), np.zeros(2))
+    calls, starts, longest = [], 0, decontaminate.longest
+    monkeypatch.setattr(decontaminate, "longest", lambda *x: calls.append(1) or longest(*x))
+    for _ in range(40):
+        item = r.sample(pool, 30)
+        items = decontaminate.items_of([(1, b" ".join(item).decode())], space)
+        words = [r.choice(pool) for _ in range(150)]
+        words[60:85] = [w for w in item if r.random() < 0.8]
+        n, span, (places, size) = len(item), int(items.spans[0]), items.answers[0]
+        every = [(decontaminate.lcs(item, words[a : a + span]) / n, decontaminate.common(places, size, words[a : a + span]) / size, -a) for a, w in enumerate(words) if w in item]
+        fit = [x for x in every if x[0] >= decontaminate.STRONG or x[0] >= decontaminate.WEAK and x[1] >= decontaminate.ANSWER]
+        calls.clear()
+        assert decontaminate.best_run(words, items, 0, 0, len(words)) == max(fit, default=None)
+        starts += len(every)
+        test_best_run_checks_few_runs.__dict__.setdefault("n", []).append(len(calls))
+    assert sum(test_best_run_checks_few_runs.n) < starts / 2
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=120), st.integers(2, 9))
 def test_interval_expansion(symbols, length):
