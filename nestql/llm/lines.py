@@ -173,9 +173,9 @@ def _ranges(texts: DataFrame, gram: int, window: int) -> DataFrame:
     return words.select("_id", "_key", F.inline_outer(found)).where("fp is not null")
 
 
-def _among(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The texts that ``rows`` name, and a few others: by a map of MAP_BITS bits, whatever their number."""
-    place = F.pmod(F.xxhash64("_id", "_key"), F.lit(MAP_BITS))
+def _among(texts: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """The texts, or marks, whose ``key`` is in ``rows``, and a few others: by a map of MAP_BITS bits, whatever their number."""
+    place = F.pmod(F.xxhash64(*key), F.lit(MAP_BITS))
     bits = rows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -192,13 +192,16 @@ def covered_lines(docs: DataFrame, gone: DataFrame, gram: int, window: int) -> D
     marks = saved(_ranges(texts, gram, window))
     # So many windows hold two runs that don't overlap.
     alone = F.col("hi") - F.col("lo") < length
-    often = marks.groupBy("fp").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("n"), F.min(F.struct("_id", "_key", "lo")).alias("src")).where("n > 1")
-    shared = saved(marks.join(often.select("fp", "src"), "fp"))
+    often = saved(marks.groupBy("fp").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("n")).where("n > 1").select("fp"))
+    # First places only of those; the map spares most other marks the way to the join.
+    several = saved(_among(marks, often, "fp").join(often, "fp", "left_semi"))
+    shared = several.join(several.groupBy("fp").agg(F.min(F.struct("_id", "_key", "lo")).alias("src")), "fp")
+    shared = saved(shared)
     later = shared.where((F.struct("_id", "_key", "lo") > F.col("src")) | ~alone)
     there = later.select("fp", "_id", "_key", F.explode(F.sequence("first", "last")).alias("pos")).join(gone, ["_id", "_key", "pos"], "left_anti")
     proposed = shared.join(there.select("fp").distinct(), "fp", "left_semi")
     spots = saved(proposed.groupBy("_id", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spots")))
-    words = _in_words(_among(texts, spots).dropDuplicates(["_id", "_key"])).join(spots, ["_id", "_key"])
+    words = _in_words(_among(texts, spots, "_id", "_key").dropDuplicates(["_id", "_key"])).join(spots, ["_id", "_key"])
     words = _word_grams(words, gram).withColumn("starts", F.flatten(F.transform("spots", lambda r: F.sequence(r["lo"], r["hi"]))))
     # A run by the grams that it is made of, the last of which may overlap.
     parts = sorted({*range(0, length - gram, gram), length - gram})

@@ -738,6 +738,13 @@ def plain_passages(rows, length):
     return found
 
 
+def test_map_of_shared_fingerprints(spark):
+    """All marks of shared fingerprints pass the map, and few others do."""
+    marks = spark.range(20_000).selectExpr("id as fp", "id % 7 as _id")
+    got = {r["fp"] for r in lines._among(marks, marks.where("fp % 100 = 0"), "fp").collect()}
+    assert got >= set(range(0, 20_000, 100)) and len(got) < 300
+
+
 def test_lines_of_passages(spark):
     r = random.Random(12)
     words = ["".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(1, 6))) for _ in range(90)]
