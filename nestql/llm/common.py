@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -50,10 +51,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def clearing(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of a step go when it is written, not when the driver happens to collect its garbage."""
+    return held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with clearing(df.sparkSession):
+        # A frame keeps the setting that it was made under; select makes another.
+        return df.select("*").checkpoint(eager=True)
 
 
 def dealt_checkpoint(df: DataFrame) -> DataFrame:
@@ -61,19 +80,15 @@ def dealt_checkpoint(df: DataFrame) -> DataFrame:
 
     An adaptive plan would hide it, so the plan is not adaptive.
     """
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with held(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
         return checkpointed(df)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared folder and read back: wide or large steps, by columns."""
     path = f"{shared_folder(df.sparkSession)}/nestql-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with clearing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
