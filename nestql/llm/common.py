@@ -92,6 +92,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(*steps: DataFrame) -> None:
+    """Deletes what ``saved`` wrote, once all that is made of it is written as well."""
+    for df in steps:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], added: str, start: Callable[[], Callable], step: int = 1024) -> DataFrame:
     """Columns ``keep`` as they are, and beside them those (``added``, as DDL) that Python makes of ``inputs``.
 

@@ -43,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestql.llm.common import saved
+from nestql.llm.common import dropped, saved
 
 GRAM = 1
 WINDOW = 1
@@ -106,6 +106,8 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     lasting = _later(grams).groupBy("_id", "_key").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
     if length == 1:
         # A line next to a match that would extend it is a match itself.
+        lasting = saved(lasting)
+        dropped(grams)
         return lasting
     marks = (
         hashed.withColumn("g", _grams(F.col("h"), gram))
@@ -196,17 +198,21 @@ def covered_lines(docs: DataFrame, gone: DataFrame, gram: int, window: int) -> D
     # First places only of those; the map spares most other marks the way to the join.
     several = saved(_among(marks, often, "fp").join(often, "fp", "left_semi"))
     shared = several.join(several.groupBy("fp").agg(F.min(F.struct("_id", "_key", "lo")).alias("src")), "fp")
+    dropped(marks, often)
     shared = saved(shared)
+    dropped(several)
     later = shared.where((F.struct("_id", "_key", "lo") > F.col("src")) | ~alone)
     there = later.select("fp", "_id", "_key", F.explode(F.sequence("first", "last")).alias("pos")).join(gone, ["_id", "_key", "pos"], "left_anti")
     proposed = shared.join(there.select("fp").distinct(), "fp", "left_semi")
     spots = saved(proposed.groupBy("_id", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spots")))
+    dropped(shared)
     words = _in_words(_among(texts, spots, "_id", "_key").dropDuplicates(["_id", "_key"])).join(spots, ["_id", "_key"])
     words = _word_grams(words, gram).withColumn("starts", F.flatten(F.transform("spots", lambda r: F.sequence(r["lo"], r["hi"]))))
     # A run by the grams that it is made of, the last of which may overlap.
     parts = sorted({*range(0, length - gram, gram), length - gram})
     runs = F.transform("starts", lambda i: F.struct(i.alias("lo"), F.xxhash64(*[F.get("g", i + k) for k in parts]).alias("fp")))
     held = saved(words.select("_id", "_key", "line", runs.alias("runs")))
+    dropped(spots)
     each = held.select("_id", "_key", F.inline("runs"))
     sources = each.groupBy("fp").agg(F.min(F.struct("_id", "_key", "lo")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     apart = (F.col("_id") != F.col("src._id")) | (F.col("_key") != F.col("src._key")) | (F.col("lo") >= F.col("src.lo") + length)
@@ -216,7 +222,9 @@ def covered_lines(docs: DataFrame, gone: DataFrame, gram: int, window: int) -> D
     between = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda j: F.struct((F.get("ends", j - 1) + length).alias("a"), (F.get("ends", j) - 1).alias("b")))
     left = F.flatten(F.transform(F.filter("between", lambda r: r["a"] <= r["b"]), lambda r: F.sequence(F.get("line", r["a"]), F.get("line", r["b"]))))
     out = held.select("_id", "_key", "line").join(stood, ["_id", "_key"]).withColumn("ends", ends).withColumn("between", between).withColumn("left", left)
-    return out.select("_id", "_key", F.explode_outer(F.array_except(F.array_distinct("line"), "left")).alias("pos")).where("pos is not null")
+    found = saved(out.select("_id", "_key", F.explode_outer(F.array_except(F.array_distinct("line"), "left")).alias("pos")).where("pos is not null"))
+    dropped(held)
+    return found
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, passage: tuple[int, int] | None = None) -> DataFrame:
@@ -227,8 +235,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, passage
     gone = removed_lines(docs, gram, window)
     if passage is not None:
         rows = saved(gone.select("_id", "_key", F.explode("removed").alias("pos")))
-        rows = rows.union(covered_lines(docs, rows, *passage))
-        gone = rows.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+        covered = covered_lines(docs, rows, *passage)
+        gone = saved(rows.union(covered).groupBy("_id", "_key").agg(F.array_sort(F.collect_set("pos")).alias("removed")))
+        dropped(rows, covered)
     rows = docs.drop("n_lines", "n_removed", "kept_text")
     rows = rows.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(NO_ID)), "_key": F.xxhash64("text")})
     joined = rows.join(gone, ["_id", "_key"], "left")

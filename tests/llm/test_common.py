@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from nestql.llm import common
+from nestql.llm import common, lines
 
 
 @pytest.mark.parametrize("step", [common.saved, common.checkpointed, common.dealt_checkpoint])
@@ -24,3 +24,12 @@ def test_shuffles_go_with_their_step(spark, step):
     assert not left
     assert [spark.conf.get(x) for x in names] == settings
     assert out.count() == 10_000 and out.agg(F.sum("v")).first()[0] == 100 * sum(range(10_000))
+
+
+def test_lines_leave_few_files(spark, odd):
+    shared = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.glob("nestql-*"))
+    out = lines.lines_digest(odd)
+    # What goes by lines, and all that goes, which the last plan reads.
+    assert len(set(shared.glob("nestql-*")) - before) <= 2
+    assert out.count() == odd.count()
