@@ -209,9 +209,13 @@ class Lowerer:
             if limit:
                 sql = f"SELECT * FROM ({sql}){f' ORDER BY {chr(44).join(order)}' if order else ''}{limit}"
             return self.shaped(select.shape, sql, columns, order)
-        if order:
-            sql = f"SELECT {', '.join(c.id for c in columns)} FROM ({sql}) ORDER BY {', '.join(order)}"
-        if limit:
+        listed = ", ".join(c.id for c in columns)
+        if order and limit:
+            # At one level and over all columns: Catalyst ranks the rows of each outer row by the sort right below the limit, else by nothing.
+            sql = f"SELECT {listed} FROM (SELECT * FROM ({sql}) ORDER BY {', '.join(order)}{limit})"
+        elif order:
+            sql = f"SELECT {listed} FROM ({sql}) ORDER BY {', '.join(order)}"
+        elif limit:
             sql = f"SELECT * FROM ({sql}){limit}"
         return Rel(sql, [Source(None, columns)])
 

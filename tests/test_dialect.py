@@ -97,6 +97,31 @@ def test_apply(session):
     assert rows(session, "select r.Value, z.Value v from range(1, 4) r cross apply range(0, r.Value) z order by 1, 2") == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
 
 
+@pytest.fixture
+def spilling(spark):
+    """Sorts spill every 100 rows, as on large tables: rows equal in their keys then come in any order."""
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "100")
+    yield
+    conf.remove(name)
+
+
+def top_in_apply(spark, how, top, way):
+    inner = spark.range(2000).selectExpr("id % 5 k", "id * 7919 % 10007 v", "id w")
+    tables = Session(spark, {"m": MemoryCatalog(spark, {"a": spark.range(6).selectExpr("id k"), "b": inner})})
+    got = rows(tables, f"select a.k, x.v, x.w from a {how} apply (select top {top} b.v, b.w from b where b.k = a.k order by b.v {way}) x")
+    hidden = rows(tables, f"select a.k, x.w from a {how} apply (select top {top} b.w from b where b.k = a.k order by b.v {way}) x")
+    want = [(k, v, i) for k in range(5) for v, i in sorted(((i * 7919 % 10007, i) for i in range(k, 2000, 5)), reverse=way == "desc")[:top]]
+    want += [(5, None, None)] * (how == "outer")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted(hidden, key=repr) == sorted([(k, w) for k, _, w in want], key=repr)
+
+
+@pytest.mark.parametrize("way", ["", "desc"])
+def test_cross_apply_ranks_by_its_order(spark, spilling, way):
+    top_in_apply(spark, "cross", 2, way)
+
+
 def test_populate(session):
     got = rows(session, 'select s.col1, t.map(x -> x.row_id) ids from source s inner populate join "table" t on t.col1 = s.col1 order by 1')
     assert [(a, sorted(b)) for a, b in got] == [(1, [1, 2]), (3, [3, 4, 5]), (5, [6])]
