@@ -122,6 +122,11 @@ def test_cross_apply_ranks_by_its_order(spark, spilling, way):
     top_in_apply(spark, "cross", 2, way)
 
 
+@pytest.mark.parametrize("way", ["", "desc"])
+def test_outer_apply_ranks_by_its_order(spark, spilling, way):
+    top_in_apply(spark, "outer", 1, way)
+
+
 def test_populate(session):
     got = rows(session, 'select s.col1, t.map(x -> x.row_id) ids from source s inner populate join "table" t on t.col1 = s.col1 order by 1')
     assert [(a, sorted(b)) for a, b in got] == [(1, [1, 2]), (3, [3, 4, 5]), (5, [6])]
